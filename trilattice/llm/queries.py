@@ -1,6 +1,7 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
 from trilattice.llm.simhash import op1_simhash
+from trilattice.llm.token_count import op9_token_counts
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {"op1_simhash": op1_simhash, "op9_token_counts": op9_token_counts}
 ORACLES: dict[str, str] = {}
