@@ -1,7 +1,8 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
+from trilattice.llm import warc
 from trilattice.llm.simhash import op1_simhash
 from trilattice.llm.token_count import op9_token_counts
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op6_warc": warc.op6_warc, "op9_token_counts": op9_token_counts}
+ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE}
