@@ -1,9 +1,9 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from trilattice.llm import warc
+from trilattice.llm import mixing, warc
 from trilattice.llm.jpeg_media import op7_jpeg_media
 from trilattice.llm.simhash import op1_simhash
 from trilattice.llm.token_count import op9_token_counts
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_warc": warc.op6_warc, "op7_jpeg_media": op7_jpeg_media, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE}
+QUERIES = {"op1_simhash": op1_simhash, "op5_mixing": mixing.op5_mixing, "op6_warc": warc.op6_warc, "op7_jpeg_media": op7_jpeg_media, "op9_token_counts": op9_token_counts}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op6_warc": warc.ORACLE}
