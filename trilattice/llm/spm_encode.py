@@ -29,7 +29,7 @@ from trilattice.llm.common import small_batches, table
 #: Types of pieces in the model file, and its mark for a space. Fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 MARK = "▁"
-MEMO = 200_000
+MEMO = 250_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -134,7 +134,12 @@ class BpeForward:
     """Forward states of a BPE model: the last piece of the encoding of each prefix."""
 
     def __init__(self, model: Model):
-        self.vocabulary, self.longest = model.vocabulary, model.longest
+        self.vocabulary = model.vocabulary
+        # the longest piece by its last three characters
+        self.reach: dict[str, int] = {}
+        for p in model.vocabulary:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         # merges of lower rank come first; single characters are never merged into
         self.rank = {p: -model.scores[i] if len(p) > 1 else -1.0 for p, i in model.vocabulary.items()}
         self.halves: dict[str, tuple[str, str] | None] = {}
@@ -200,7 +205,7 @@ class BpeForward:
     def run(self, words: list[str]) -> Iterator[list[str]]:
         """Pieces of each of the sorted words."""
         ends: list[str] = [""]
-        vocabulary, longest, may_follow = self.vocabulary, self.longest, self.may_follow
+        vocabulary, reach, may_follow = self.vocabulary, self.reach, self.may_follow
         before = ""
         for word in words:
             if word.startswith("  "):
@@ -211,7 +216,7 @@ class BpeForward:
             del ends[same + 1 :]
             before = word
             for i in range(same + 1, len(word) + 1):
-                for j in range(max(0, i - longest), i):
+                for j in range(max(0, i - reach.get(word[i - 3 : i], 2)) if i > 2 else 0, i):
                     piece = word[j:i]
                     if (piece in vocabulary or j == i - 1) and (not j or may_follow(ends[j], piece)):
                         ends.append(piece)
@@ -267,15 +272,23 @@ def _common(a: str, b: str) -> int:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps at most `memo` words between batches."""
+    """Encodes batches of texts. Between batches it keeps the words of late, in two generations of about `memo`."""
 
     def __init__(self, model: Model, memo: int = MEMO):
-        self.model, self.memo, self.known = model, memo, {}
+        self.model, self.memo, self.known, self.older = model, memo, {}, {}
 
     def encode(self, texts: list[str]) -> list[array]:
         words = [self.model.marked(t) for t in texts]
-        known = self.known
-        new = sorted({w for own in words for w in own if w not in known})
+        if len(self.known) > self.memo:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in set().union(*words):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        new.sort()
         for w, pieces in zip(new, self.model.forward.run(new)):
             known[w] = self.model.ids_of(pieces)
         out = []
@@ -284,8 +297,6 @@ class Encoder:
             for w in own:
                 ids.extend(known[w])
             out.append(ids)
-        if len(known) > self.memo:
-            known.clear()
         return out
 
 
