@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_mem
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of the session, wherever they run, once per context.
+
+    Spark's own file service carries it, as it does the py-files of a submitted job.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_trilattice_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="trilattice-code-")) / "trilattice_code.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(made))
+    context._trilattice_shipped = True
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
