@@ -420,6 +420,27 @@ def swap_candidates(m):
     return R.swap_candidates(m).select("u", "v", r6("gain"))
 
 
+@query(f"""{SWAP_SQL.replace("AS gain", "AS gain, before")}, ok AS (SELECT f.*, q.k, q.m FROM flips f JOIN quads q ON q.u = f.u AND q.v = f.v WHERE f.gain + f.before >= least(f.before, 20) - 1e-9),
+g AS (SELECT o.u, o.v, greatest(0, a.valence - 6) + greatest(0, b.valence - 6) + greatest(0, c.valence - 6) + greatest(0, d.valence - 6) - greatest(0, a.valence - 7) - greatest(0, b.valence - 7) - greatest(0, c.valence - 5) - greatest(0, d.valence - 5) AS gain
+  FROM ok o JOIN valence a ON a.node_id = o.u JOIN valence b ON b.node_id = o.v JOIN valence c ON c.node_id = o.k JOIN valence d ON d.node_id = o.m) SELECT u, v, gain FROM g WHERE gain > 0""")
+def valence_swap_candidates(m):
+    return R.valence_swap_candidates(m, 6).select("u", "v", F.col("gain").cast("long").alias("gain"))
+
+
+@query()
+def relieved_nodes(m):
+    return R.relieve_nodes(m, 6, most=3)[0].elements.drop("mesh_id")
+
+
+@query()
+def patch_plan(m):
+    from trilattice.operators import patches
+
+    found = P.geometry(m).where("min_angle < 24").select("mesh_id", "elem_id", F.lit("c1").alias("check"))
+    plan = patches.plan(m, found)
+    return plan.select("patch", "class", "checks", "n_seeds", "n_elements", r6("worst_min_angle"), r6("severity"), "rank")
+
+
 @query()
 def swap_selected(m):
     return R.select_disjoint(R.swap_candidates(m)).select("u", "v", "first_elem", "last_elem")
