@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -33,7 +35,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_trilattice_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    made = Path(tempfile.mkdtemp(prefix="trilattice-code-")) / "trilattice_code.zip"
+    folder = tempfile.mkdtemp(prefix="trilattice-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = Path(folder) / "trilattice_code.zip"
     with zipfile.ZipFile(made, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
@@ -52,6 +56,7 @@ def scratch_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="trilattice-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
