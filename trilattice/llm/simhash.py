@@ -232,7 +232,9 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """
     found = near_duplicates(docs, **settings)
     kept = stored(found.where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "simhash-kept")
-    once = docs.join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # the kept ids grow with the corpus, so they are never broadcast; their side of each partition is hashed, and no text is sorted
+    ids = kept.select(F.col("doc_id").alias("kept_id")).hint("shuffle_hash")
+    once = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     if kept.where("times > 1 and doc_id is not null").isEmpty():
         return once
     return once.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(once.where("doc_id is null"))
