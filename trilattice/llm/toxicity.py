@@ -169,53 +169,92 @@ def curve_at(curve: tuple[float, float, float], top: float, total: float) -> flo
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def _offences(sample: list[tuple[list[str], int]]) -> dict[str, float]:
-    """Features of offences with their strength, from (tokens, toxic) of the sample."""
-    contexts: dict[str, set] = defaultdict(set)
-    length = [0, 0]
-    for tokens, toxic in sample:
-        length[toxic] += len(tokens)
-        if toxic:
-            before = ""
-            for t in tokens:
-                for f in features_of(t):
-                    contexts[f].add(before)
-                before = t
-    many = {f: len(c) for f, c in contexts.items() if len(c) >= LEAST_CONTEXTS}
-    contexts.clear()
-    elsewhere: dict[str, set] = defaultdict(set)
-    for tokens, toxic in sample:
-        if not toxic:
-            before = ""
-            for t in tokens:
-                for f in features_of(t):
-                    if f in many:
-                        elsewhere[f].add(before)
-                before = t
-    share = length[1] / max(1, sum(length))
-    out = {}
+class Sample:
+    """Tokens of the sample as numbers of a vocabulary, which takes a tenth of the strings' memory."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        self.number: dict[str, int] = {}
+        self.rows: list[tuple[np.ndarray, int]] = []
+        give = self.number.setdefault
+        for text, label in rows:
+            self.rows.append((np.array([give(t.lower(), len(self.number)) for t in TOKEN.findall(text)], np.int32), int(label > 0)))
+        self.words = list(self.number)
+
+    def contexts(self, toxic: int, of: np.ndarray) -> np.ndarray:
+        """Distinct (token, token before) of the rows of a class for the tokens marked in `of`, as one sorted number each; before the first stands a token of its own."""
+        n, found = len(self.words) + 1, []
+        for t, y in self.rows:
+            if y == toxic and len(t):
+                at = np.flatnonzero(of[t])
+                before = np.where(at > 0, t[at - 1], n - 1)
+                found.append(np.unique(t[at].astype(np.int64) * n + before))
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def tokens(self, toxic: int) -> int:
+        return sum(len(t) for t, y in self.rows if y == toxic)
+
+
+def _context_counts(pairs: np.ndarray, words: list[str], only: dict[str, int] | None = None) -> dict[str, int]:
+    """How many different tokens stand before each feature; with `only`, of the features it names."""
+    n = len(words) + 1
+    token, before = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+    number: dict[str, int] = {}
+    rows, owners = [], []
+    for t in np.unique(token).tolist():
+        for f in features_of(words[t]):
+            if only is None or f in only:
+                rows.append(number.setdefault(f, len(number)))
+                owners.append(t)
+    if not number:
+        return {}
+    # each feature's tokens, joined to the pairs by the token's stretch in the sorted pairs; some features at a time
+    owners_, rows_ = np.array(owners, np.int32), np.array(rows, np.int32)
+    del owners, rows
+    order = np.argsort(rows_, kind="stable")
+    owners_, rows_ = owners_[order], rows_[order]
+    start, stop = np.searchsorted(token, owners_), np.searchsorted(token, owners_, side="right")
+    upto = np.concatenate([[0], np.cumsum(stop - start)])
+    counts, a = np.zeros(len(number), np.int64), 0
+    while a < len(rows_):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + (1 << 19), side="right")) - 1)
+        b = int(np.searchsorted(rows_, rows_[b - 1], side="right"))
+        size = (stop - start)[a:b]
+        at = np.repeat(start[a:b] - (upto[a:b] - upto[a]), size) + np.arange(size.sum())
+        distinct = np.unique(np.repeat(rows_[a:b], size).astype(np.int64) * n + before[at])
+        counts += np.bincount(distinct // n, minlength=len(number))
+        a = b
+    return {f: int(counts[i]) for f, i in number.items() if counts[i] >= (LEAST_CONTEXTS if only is None else 1)}
+
+
+def _offences(sample: Sample) -> dict[str, float]:
+    """Features of offences with their strength."""
+    many = _context_counts(sample.contexts(1, np.ones(len(sample.words), bool)), sample.words)
+    carries = np.array([any(f in many for f in features_of(w)) for w in sample.words], bool)
+    elsewhere = _context_counts(sample.contexts(0, carries), sample.words, many)
+    one, all_ = sample.tokens(1), sample.tokens(1) + sample.tokens(0)
+    if not 0 < one < all_:
+        return {}
+    share, out = one / all_, {}
     for f, a in many.items():
-        b = len(elsewhere.get(f, ()))
-        odds = math.log((a + 0.5) / (b + 0.5)) - math.log(share / max(1e-9, 1 - share)) if 0 < share < 1 else 0.0
-        g = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0)) if 0 < share < 1 else 0.0
+        b = elsewhere.get(f, 0)
+        odds = math.log((a + 0.5) / (b + 0.5)) - math.log(share / (1 - share))
+        g = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0))
         if odds >= LEAST_ODDS and g >= LEAST_G:
             out[f] = g
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES])
 
 
-def _windows(sample: list[tuple[list[str], int]], offences: dict[str, float]) -> dict[tuple, int]:
+def _windows(sample: Sample, offences: dict[str, float]) -> dict[tuple, int]:
     """Stretches of up to WINDOW tokens as (length, ((position, features, label), ...)), with their number."""
     number = {f: i for i, f in enumerate(offences)}
+    own = {i: found for w, i in sample.number.items() if (found := tuple(number[f] for f in features_of(w) if f in number))}
+    carries = np.zeros(len(sample.words) + 1, bool)
+    carries[list(own)] = True
     out: dict[tuple, int] = defaultdict(int)
-    for tokens, toxic in sample:
+    for tokens, toxic in sample.rows:
         for a in range(0, len(tokens), WINDOW):
             part = tokens[a : a + WINDOW]
-            hits = []
-            for k, t in enumerate(part):
-                own = tuple(number[f] for f in features_of(t) if f in number)
-                if own:
-                    hits.append((k, own, toxic))
-            out[(len(part), tuple(hits))] += 1
+            out[(len(part), tuple((int(k), own[int(part[k])], toxic) for k in np.flatnonzero(carries[part])))] += 1
     return out
 
 
@@ -310,14 +349,14 @@ def fit(sample: list[tuple[str, int]]) -> Chain:
     plain = Chain(curve=(math.log(share / (1 - share)), 0.0, 0.0))
     if not sample or len({y for _, y in sample}) < 2:
         return plain
-    tokens = [([t.lower() for t in TOKEN.findall(x)], int(y > 0)) for x, y in sample]
-    offences = _offences(tokens)
+    numbers = Sample(sample)
+    offences = _offences(numbers)
     if not offences:
         return plain
-    chain = fit_chain(_windows(tokens, offences), list(offences))
+    chain = fit_chain(_windows(numbers, offences), list(offences))
     scorer = chain.prepare()
-    points = np.array([(1.0, *summary(scorer.marginals(t)[1])) for t, _ in tokens])
-    chain.curve = tuple(_logistic(points, np.array([y for _, y in tokens], float)).tolist())
+    points = np.array([(1.0, *summary(scorer.marginals([numbers.words[i] for i in t])[1])) for t, _ in numbers.rows])
+    chain.curve = tuple(_logistic(points, np.array([y for _, y in numbers.rows], float)).tolist())
     return chain
 
 
