@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trilattice.llm.common import small_batches, table
 
-LIMIT, MEMO = 512, 250_000
+LIMIT, MEMO = 512, 300_000
 #: Byte-level pre-tokens, as published with the vocabulary. A fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -36,10 +36,12 @@ def spans(text: str) -> list[str]:
 
 
 class PieceCounter:
-    """Counts of one vocabulary; memory is bounded by `memo` distinct entries."""
+    """Counts of one vocabulary. Spans and pre-tokens of late are kept, each in two generations of about `memo`."""
 
     def __init__(self, path: str, memo: int = MEMO):
-        self.memo, self.known, self.special = memo, {}, None
+        self.memo, self.special = memo, None
+        self.known, self.older = {}, {}
+        self.pieces, self.older_pieces = {}, {}
         kind = path.rpartition(".")[2]
         if kind == "json":
             self._tokenizers(path)
@@ -88,21 +90,34 @@ class PieceCounter:
                     f.update(rest)
                     f[_BARE + first] += 1
             frequencies.append(f)
-        self._learn(set().union(*frequencies) if frequencies else set())
+        self._learn(set().union(*frequencies))
         known = self.known
-        out = [n + sum(known[s] * k for s, k in f.items()) for n, f in zip(totals, frequencies)]
-        if len(known) > self.memo:
-            known.clear()
-        return out
+        return [n + sum(known[s] * k for s, k in f.items()) for n, f in zip(totals, frequencies)]
 
     def _learn(self, seen: set[str]) -> None:
-        """Pieces of spans not yet known, by way of their distinct pre-tokens. """
-        new = [s for s in seen if s not in self.known]
-        parts = {s: self.units(s[1:] if s[:1] == _BARE else f" {s}") for s in new}
-        distinct = list({u for p in parts.values() for u in p})
-        pieces = dict(zip(distinct, self.whole(distinct))) if distinct else {}
+        """Pieces of spans not yet known, by way of their distinct pre-tokens."""
+        if len(self.known) > self.memo:
+            self.known, self.older = {}, self.known
+        if len(self.pieces) > self.memo:
+            self.pieces, self.older_pieces = {}, self.pieces
+        parts = {}
+        for s in seen:
+            if s not in self.known:
+                if s in self.older:
+                    self.known[s] = self.older[s]
+                else:
+                    parts[s] = self.units(s[1:] if s[:1] == _BARE else f" {s}")
+        new = []
+        for u in {u for p in parts.values() for u in p}:
+            if u not in self.pieces:
+                if u in self.older_pieces:
+                    self.pieces[u] = self.older_pieces[u]
+                else:
+                    new.append(u)
+        if new:
+            self.pieces.update(zip(new, self.whole(new)))
         for s, p in parts.items():
-            self.known[s] = sum(pieces[u] for u in p)
+            self.known[s] = sum(map(self.pieces.__getitem__, p))
 
 
 _COUNTERS: dict[str, PieceCounter] = {}
