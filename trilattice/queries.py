@@ -124,6 +124,11 @@ def kring(m):
     return P.k_ring(m, m.elements.where("elem_id % 500 = 0"), 2).groupBy(F.col("seed").alias("elem_id")).agg(F.count(F.lit(1)).alias("near"))
 
 
+@query("""SELECT e.elem_id, count(DISTINCT n.elem_id) AS near FROM elements e JOIN corner c USING (elem_id) JOIN corner d ON d.node_id = c.node_id JOIN corner f ON f.elem_id = d.elem_id JOIN corner n ON n.node_id = f.node_id GROUP BY e.elem_id""")
+def kring_all(m):
+    return P.k_ring(m, m.elements, 2).groupBy(F.col("seed").alias("elem_id")).agg(F.count(F.lit(1)).alias("near"))
+
+
 # detectors
 
 
