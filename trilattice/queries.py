@@ -499,6 +499,17 @@ def raster_sample(m):
     return S.sample_raster(m.nodes.where("node_id < 5000").select("node_id", "x", "y"), raster, (0.3, 0.3, 1.0, 1.0), (50, 50), ["node_id"]).select("node_id", r6("depth"))
 
 
+@query("""dem AS (SELECT (node_id // 50)::INTEGER AS r, (node_id % 50)::INTEGER AS c, 8 - depth AS z FROM nodes), p AS (SELECT node_id, x - 0.3 AS cf, y - 0.3 AS rf, (top // 50 + 1)::INTEGER AS rows FROM nodes, top),
+q AS (SELECT *, greatest(0, least(48, floor(cf - 0.5)))::INTEGER AS c0, greatest(0, least(rows - 2, floor(rf - 0.5)))::INTEGER AS r0, cf >= 0 AND cf <= 50 AND rf >= 0 AND rf <= rows AS ok FROM p),
+f AS (SELECT *, least(1, greatest(0, cf - 0.5 - c0)) AS fc, least(1, greatest(0, rf - 0.5 - r0)) AS fr FROM q),
+z AS (SELECT node_id, CASE WHEN ok THEN coalesce((1 - fr) * ((1 - fc) * a.z + fc * b.z) + fr * ((1 - fc) * e.z + fc * g.z), 0) ELSE 0 END AS z FROM f LEFT JOIN dem a ON a.r = r0 AND a.c = c0 LEFT JOIN dem b ON b.r = r0 AND b.c = c0 + 1 LEFT JOIN dem e ON e.r = r0 + 1 AND e.c = c0 LEFT JOIN dem g ON g.r = r0 + 1 AND g.c = c0 + 1)
+SELECT node_id, round(CASE WHEN z >= 0 THEN 0 ELSE -z END, 6) AS depth FROM z""")
+def raster_sample_all(m):
+    raster = m.nodes.select(F.floor(F.col("node_id") / 50).cast("int").alias("row"), (F.col("node_id") % 50).cast("int").alias("col"), (F.lit(8) - F.col("depth")).alias("z"))
+    rows = m.nodes.agg(F.max("node_id")).first()[0] // 50 + 1
+    return S.sample_raster(m.nodes.select("node_id", "x", "y"), raster, (0.3, 0.3, 1.0, 1.0), (rows, 50), ["node_id"]).select("node_id", r6("depth"))
+
+
 @query("""p AS (SELECT node_id, trunc((x - 3.2) / 2.5)::INTEGER AS c, trunc((78.2 - y) / 2.5)::INTEGER + 1 AS r FROM nodes) SELECT node_id, CASE WHEN c BETWEEN 0 AND 19 AND r BETWEEN 1 AND 30 THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c + 1, 1) || r END AS cell FROM p""")
 def cell_reference(m):
     return m.nodes.select("node_id", S.cell_reference(F.col("x"), F.col("y"), 3.2, 3.2, 53.2, 78.2, 2.5).alias("cell"))
