@@ -83,3 +83,23 @@ def test_rows(spark, labelled):
     assert T.scored(docs, chain).count() == 63
     assert T.without_toxic(docs, chain).columns == docs.columns
     assert T.scored(docs.where("false"), chain).collect() == [] and T.offending_spans(docs, chain).columns == ["doc_id", "start", "end", "probability"]
+
+
+def sample_of(spark, rows, labels, most, most_bytes):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return T.training_sample(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", T.FOLDS, T.HELD_OUT, most, most_bytes)
+
+
+def test_long_texts_and_repeated_ids_leave_the_rest_of_the_sample(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % T.FOLDS != T.HELD_OUT]
+    order = [r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    labels, text = [(i, i % 2) for i in ids], lambda i: f"text {i:02}"
+    long = [(i, "x " * 4000 if i == order[0] else text(i)) for i in ids]
+    assert sample_of(spark, long, labels, 1000, 6400) == [(text(i), i % 2) for i in ids if i != order[0]]
+    repeated = [(i, text(i)) for i in ids] + [(order[0], text(order[0])), (order[0], "t")] * 40
+    assert sample_of(spark, repeated, labels, 10, 6400) == [(text(i), i % 2) for i in sorted(order[:10])]
+
+
+def test_one_class_is_said():
+    with pytest.warns(UserWarning, match="no two classes"):
+        assert T.fit([("a", 0)]).features == {}

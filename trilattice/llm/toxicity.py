@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -328,18 +329,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, most: int, most_bytes: int) -> list[tuple[str, int]]:
-    """(text, label) of at most `most` training rows and `most_bytes` of text, by a hash of their id.
+    """(text, label) of at most `most` training documents and `most_bytes` of text, by a hash of their id.
 
-    Rows of the held-out fold, and without id, label or text, are no training rows.
+    Rows of the held-out fold, and without id, label or text, are no training rows. Rows that repeat an id are one
+    document, with the longest of their texts. A text beyond a 64th of `most_bytes` is passed over on its own, so that
+    the bound on all text cuts the order only where the sample is full but for such a part.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("__label"))
-    sized = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("n"))
+    size, mark = F.octet_length("text").alias("n"), F.xxhash64("text").alias("mark")
+    sized = docs.select("doc_id", size, mark).where(F.col("n") <= most_bytes // 64)
+    longest = F.max(F.struct("n", "mark")).alias("text")
+    merged = known.join(sized, "doc_id").groupBy("doc_id").agg(F.max("__label").alias("__label"), longest).select("doc_id", "__label", "text.n", "text.mark")
     # the candidates are `most` rows, and so is all that is broadcast below
-    first = known.join(sized, "doc_id").select("doc_id", "__label", "n", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "n").limit(most)
-    upto = F.sum("n").over(Window.orderBy("h", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = first.select("doc_id", "__label", upto.alias("upto")).where(F.col("upto") <= most_bytes).groupBy("doc_id").agg(F.max("__label").alias("__label"))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "__label").collect()
+    first = merged.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
+    upto = F.sum("n").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "__label", "n", "mark")
+    given = docs.where("text is not null").select("doc_id", "text", size, mark)
+    rows = given.join(F.broadcast(chosen), ["doc_id", "n", "mark"]).select("doc_id", "text", "__label").dropDuplicates(["doc_id"]).collect()
     return [(r["text"], int(r["__label"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
@@ -348,6 +355,7 @@ def fit(sample: list[tuple[str, int]]) -> Chain:
     share = (sum(y for _, y in sample) + 0.5) / (len(sample) + 1)
     plain = Chain(curve=(math.log(share / (1 - share)), 0.0, 0.0))
     if not sample or len({y for _, y in sample}) < 2:
+        warnings.warn(f"the toxicity sample has {len(sample)} texts and no two classes: every score is {share:.3f}", stacklevel=2)
         return plain
     numbers = Sample(sample)
     offences = _offences(numbers)
