@@ -65,3 +65,10 @@ def test_unigram_viterbi():
     for t, ids in zip(texts, S.Encoder(model).encode(texts)):
         assert abs(score(ids) - score(lib.encode(t))) < 1e-4
         assert model.decode(ids) == t
+
+
+def test_query_returns_the_ids(spark):
+    t = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
+    rows = {r.doc_id: r for r in S.op4_sentencepiece(spark, "/root/testdata/sf0.001").collect()}
+    for i, x in zip(t["doc_id"], t["text"]):
+        assert list(rows[i].ids) == LIB.encode(x or "") and rows[i].decoded == (x or "").replace("▁", " ")

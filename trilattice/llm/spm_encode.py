@@ -311,48 +311,47 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+#: Columns that encoded() adds, and those it derives from them.
+ADDED, DIGESTS = ["ids", "decoded"], ["n_ids", "ids_md5", "round_trip"]
+
+
+def encoded(docs: DataFrame, path: str, text: str = "text", digests: bool = False) -> DataFrame:
     """docs with the columns ids (array of int) and decoded (string) in place of any of these names.
 
+    With `digests` n_ids, ids_md5 (over the ids as little-endian 32-bit numbers) and round_trip follow, all derived from
+    these two columns.
+
     ids are the library's for the whole text; decoded is what decoding the ids gives, the text itself but for marks
     that the text holds literally. Null texts are empty and have no ids. All other columns pass through unread; an
     empty table gives an empty one. `path` names a model file that each executor has.
     """
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    added = ADDED + DIGESTS if digests else ADDED
+    kept = [c for c in docs.columns if c not in added]
     given = docs.select(*kept, docs[text].alias("__text")) if text not in kept else docs.select(*kept)
     at = given.columns.index(text if text in kept else "__text")
     schema = docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType(), False), False).add("decoded", "string", False)
+    if digests:
+        schema = schema.add("n_ids", "long", False).add("ids_md5", "string", False).add("round_trip", "boolean", False)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spm = encoder(path)
         for b in batches:
-            ids = spm.encode([t or "" for t in b.column(at).to_pylist()])
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            ids = spm.encode(texts)
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             values = np.concatenate([np.frombuffer(x, np.int32) for x in ids]) if len(ids) else np.zeros(0, np.int32)
-            decoded = pa.array([spm.model.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), decoded], [*kept, "ids", "decoded"])
+            decoded = [spm.model.decode(x) for x in ids]
+            out = [*(b.column(k) for k in range(len(kept))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(decoded, pa.string())]
+            if digests:
+                same = [d == t.replace(MARK, " ") for d, t in zip(decoded, texts)]
+                md5 = [hashlib.md5(x.tobytes()).hexdigest() for x in ids]
+                out += [pa.array(map(len, ids), pa.int64()), pa.array(md5, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, [*kept, *added])
 
     small_batches(docs.sparkSession)
     return given.mapInArrow(of, schema)
 
 
-def id_digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_ids, ids_md5, round_trip) without shipping the ids: ids_md5 is over them as little-endian 32-bit numbers."""
-    schema = docs.select(key).schema.add("n_ids", "long", False).add("ids_md5", "string", False).add("round_trip", "boolean", False)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spm = encoder(path)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            ids = spm.encode(texts)
-            same = [spm.model.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts)]
-            md5 = [hashlib.md5(x.tobytes()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(md5, pa.string()), pa.array(same, pa.bool_())], [key, "n_ids", "ids_md5", "round_trip"])
-
-    small_batches(docs.sparkSession)
-    return docs.select(key, text).mapInArrow(of, schema)
-
-
 def model_path() -> str:
     import public_tokenizers
 
@@ -360,5 +359,6 @@ def model_path() -> str:
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Ids of every document, as their number and digest, and whether decoding gives the text back."""
-    return id_digests(table(spark, sf_dir, "documents"), model_path())
+    """Ids of every document, the text decoded from them, their number and digest, and whether decoding gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded(docs, model_path(), digests=True).select("doc_id", *ADDED, *DIGESTS)
