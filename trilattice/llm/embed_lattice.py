@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trilattice.llm.common import small_batches, table
+from trilattice.llm.common import slices, table
 from trilattice.operators.graph import connected_components
 from trilattice.session import stored
 
@@ -102,7 +102,7 @@ def _meetings(settings: dict, wide: bool):
     """Partitions of (node, label, vec) to a row for each node, table and cell."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1024):
             nodes, labels = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             vectors = _vectors(b.column(2), wide)
             sizes = np.array([len(v) for v in vectors], np.int64)
@@ -198,7 +198,7 @@ def _blocks(threshold: float, settings: dict, wide: bool):
             out.clear()
             return made
 
-        for b in batches:
+        for b in slices(batches, 1024):
             columns = [b.column(k).to_pylist() for k in range(b.num_columns - 1)] + [_vectors(b.column(b.num_columns - 1), wide)]
             for row in zip(*columns):
                 # vectors of one length only: cells of others differ, but for a chance collision of hashes
@@ -237,10 +237,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(label).alias("label"), v.alias("vector"), F.coalesce(sound, F.lit(False)).alias("sound"))
     good = rows.where("sound")
     nodes = stored(good.groupBy("label", "vector").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "lattice-nodes")
-    small_batches(spark, 1024)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1024):
             kind = "<f8" if wide else "<f4"
             vec = [np.array(x, kind).tobytes() for x in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(vec, pa.binary())], ["node", "label", "n", "vec"])

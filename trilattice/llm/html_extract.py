@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trilattice.llm.common import small_batches, table
+from trilattice.llm.common import slices, table
 
 #: Elements whose content is no text. Fixed values.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
@@ -244,11 +244,10 @@ def extract(pages: DataFrame, page: str = "html", key: str = "page_id", url: str
     schema = pages.select(key, url).schema.add("text", "string", False).add("n_chars", "long", False)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(p) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [key, url, "text", "n_chars"])
 
-    small_batches(pages.sparkSession)
     return pages.select(key, url, page).mapInArrow(of, schema)
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trilattice.llm.common import byte_texts, small_batches, table
+from trilattice.llm.common import byte_texts, slices, table
 from trilattice.session import stored
 
 UNIT, ROW, WIDTH, MAX_ROWS = 576, 192, 24, 8184
@@ -372,11 +372,10 @@ def media_column(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     schema = docs.select(key).schema.add("media", "binary", False)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = byte_texts(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode([padded(t) for t in texts], [len(t) for t in texts]), pa.binary())], [key, "media"])
 
-    small_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(of, schema)
 
 
@@ -392,7 +391,7 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
         schema = schema.add(name, kind, False)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             streams = b.column(1).to_pylist()
             images = [parse(m) for m in streams]
             rows = []
@@ -403,7 +402,6 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, (_, k, _) in zip(columns, kinds))], [key, *(n for n, _, _ in kinds)])
 
-    small_batches(media.sparkSession)
     return media.select(key, "media").mapInArrow(of, schema)
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trilattice.llm.common import byte_texts, small_batches, table, word_blocks
+from trilattice.llm.common import byte_texts, slices, table, word_blocks
 from trilattice.operators.graph import connected_components
 from trilattice.session import stored
 
@@ -54,11 +54,10 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     schema = docs.select(key).schema.add("fp", "long", False)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle, seed) for t in byte_texts(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [key, "fp"])
 
-    small_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(of, schema)
 
 

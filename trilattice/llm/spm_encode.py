@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from trilattice.llm.common import small_batches, table
+from trilattice.llm.common import slices, table
 
 #: Types of pieces in the model file, and its mark for a space. Fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -335,7 +335,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", digests: bool = Fals
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spm = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
             ids = spm.encode(texts)
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
@@ -348,7 +348,6 @@ def encoded(docs: DataFrame, path: str, text: str = "text", digests: bool = Fals
                 out += [pa.array(map(len, ids), pa.int64()), pa.array(md5, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, [*kept, *added])
 
-    small_batches(docs.sparkSession)
     return given.mapInArrow(of, schema)
 
 

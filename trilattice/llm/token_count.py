@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trilattice.llm.common import small_batches, table
+from trilattice.llm.common import slices, table
 
 LIMIT, MEMO = 512, 300_000
 #: Byte-level pre-tokens, as published with the vocabulary. A fixed value.
@@ -135,11 +135,10 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
         if path not in _COUNTERS:
             _COUNTERS[path] = PieceCounter(path)
         counter = _COUNTERS[path]
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counter.counts(texts), pa.int64())], [key, "n_bytes", "n_tokens"])
 
-    small_batches(docs.sparkSession)
     sized = docs.select(key, text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     return sized.mapInArrow(of, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trilattice.llm.common import fold, small_batches, table
+from trilattice.llm.common import fold, slices, table
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Bounds of the labelled sample and of the model: documents, their UTF-8 bytes, features.
@@ -379,10 +379,9 @@ def scored(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = chain.prepare()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t or "") for t in b.column(1).to_pylist()], pa.float64())], [key, "score"])
 
-    small_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(of, schema)
 
 
@@ -392,13 +391,12 @@ def offending_spans(docs: DataFrame, chain: Chain, least: float = 0.5, key: str
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = chain.prepare()
-        for b in batches:
+        for b in slices(batches):
             found = [(i, *s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in scorer.spans(t or "", least)]
             columns = list(zip(*found)) or [()] * 4
             kinds = (b.column(0).type, pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [key, "start", "end", "probability"])
 
-    small_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(of, schema)
 
 
@@ -408,10 +406,9 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, t
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = chain.prepare()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([scorer.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(of, docs.schema)
 
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trilattice.llm.common import byte_texts, small_batches, table
+from trilattice.llm.common import byte_texts, slices, table
 from trilattice.session import stored
 
 #: Fixed values of the seekable format.
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_byte
             kind = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64())]))
             return pa.RecordBatch.from_arrays([pa.array([bundle.finish()], pa.binary()), pa.array([rows], kind)], ["bundle", "records"])
 
-        for b in batches:
+        for b in slices(batches):
             for page, url, html, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), b.column(3).to_pylist()):
                 index.append((page, *bundle.add(write_record(page, url, html, refers))))
                 if bundle.size >= bundle_bytes:
@@ -148,7 +148,6 @@ def write_archives(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_byte
         if index:
             yield made()
 
-    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", F.col("refers_to").cast("long")).mapInArrow(of, "bundle binary, records array<struct<page_id: long, frame: int, offset: long>>")
 
 
@@ -156,7 +155,7 @@ def read_archives(bundles: DataFrame) -> DataFrame:
     """One row per record of the bundles, read back from their bytes; the digest of a response is that of the payload read."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 4):
             for bundle in b.column(0).to_pylist():
                 out = []
                 for frame in range(len(seek_table(bundle))):
@@ -170,7 +169,6 @@ def read_archives(bundles: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    small_batches(bundles.sparkSession, 4)
     return bundles.select("bundle").mapInArrow(of, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
