@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pyarrow.parquet as pq
 
@@ -42,6 +43,48 @@ def test_broken_and_empty_pages():
     assert main_text("<article><p>" + "x" * 2_000_000) == "x" * 2_000_000
 
 
+TEXT = "The first part of this article says what it is about, and it says so in the usual words of the language." * 2
+ARTICLE = f"<article><h1>Title</h1><p>{TEXT}</p></article>"
+
+
+def test_words_of_the_layout_are_no_boilerplate():
+    for outer in ('class="content has-sidebar"', 'id="page" class="no-sidebar"', 'class="widget-area"', "class=comments-open", "id=overlay"):
+        assert main_text(f"<body><div {outer}>{ARTICLE}</div><footer>x</footer>") == f"Title\n\n{TEXT}", outer
+    for own in ('class="ad-free"', 'id="share-2"'):
+        assert main_text(f"<article><p {own}>{TEXT}</p><p>{TEXT}</p></article>") == f"{TEXT}\n\n{TEXT}", own
+    assert main_text(f'<form id="all"><div>Menu</div>{ARTICLE}</form>') == f"Title\n\n{TEXT}"
+    assert main_text(f'<div class="sidebar-layout"><p>{TEXT}</p><p>{TEXT}</p></div><div>(c)</div>') == f"{TEXT}\n\n{TEXT}"
+
+
+def test_suspects_beside_an_article():
+    page = f"""<div class="related"><article><h2>More</h2><p>{BODY}</p></article></div>{ARTICLE}<div id="comments"><article class="comment"><p>{BODY}</p></article></div>
+    <div class="cookie-notice"><p>{BODY}</p><p>{BODY}</p></div>"""
+    assert main_text(page) == f"Title\n\n{TEXT}"
+    assert main_text(f'<p>{BODY}</p><p>{BODY}</p><div id="comments"><article><p>{BODY}</p></article></div>') == f"{BODY.strip()}\n\n{BODY.strip()}"
+    assert main_text(f'<article><p>{TEXT}</p><div class="ad"><p>{BODY}</p><p>{BODY}</p></div></article>') == TEXT
+    assert main_text(f'<article><p>{TEXT}</p><p hidden>x</p><p style="display:none">y</p></article>') == TEXT
+
+
+def test_tags_and_comments_as_html_reads_them():
+    assert main_text(f'<article><p class=foo">{TEXT}</p><p>Said "so".</p></article>') == f'{TEXT}\n\nSaid "so".'
+    assert main_text(f"<article><!--><p>{TEXT}</p><!-- x --><!---><p>End</p></article>") == f"{TEXT}\n\nEnd"
+    assert main_text(f"<article><p title='a>b' data-x=\"c>d\" / e = f>{TEXT}</p></ x><!x></></article>") == TEXT
+
+
+def test_languages_without_known_stop_words():
+    han = "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 16
+    assert main_text(f"<body><div><a href=/>首页</a></div><p>{han}</p><p>{han}</p><div>版权</div></body>") == f"{han}\n\n{han}"
+    other = "Siis poika lähti matkaan metsän halki kohti kaukaista kylää, jossa hänen äitinsä odotti. " * 3
+    assert main_text(f"<div><a href=/>Etusivu</a></div><p>{other}</p><p>{other}</p>") == f"{other.strip()}\n\n{other.strip()}"
+
+
+def test_long_pages_take_linear_time():
+    for page in ("<p>short</p>" * 80_000, "<div>" * 200_000, "<div>" * 20_000 + "</b>" * 200_000, "<b>" * 50_000 + "<hr>" * 150_000, '<div class="ad">' * 60_000, "<a b='" * 150_000, "<!-" * 300_000, "<p " * 300_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 5, page[:20]
+
+
 def test_query(spark):
     pages = spark.createDataFrame([(1, None, None, "q"), (None, "u", "<article><p>hi there", "q"), (2, "u", "", "q"), (2, "u", "", "q")], "page_id long, url string, html string, text string")
     got = [tuple(r) for r in extract(pages).collect()]
