@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return. The same six bytes split bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,3 +52,26 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
 def fold(column, divisor: int):
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8")) % divisor
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, whatever signs the names hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def fresh(names: list[str], stem: str) -> str:
+    """A name, or the beginning of names, that begins none of the given ones in either case."""
+    while any(n.lower().startswith(stem.lower()) for n in names):
+        stem += "_"
+    return stem
+
+
+def mapped(docs: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """docs.mapInArrow(of, schema) for column names with any signs; columns are told by their place alone."""
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in of(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, plain.names)
+
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(renamed, plain).toDF(*schema.names)
