@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from trilattice.llm import quality_rules as Q
+from trilattice.llm.common import training_rows
 
 TEXTS = ["", None, "a", "One two two THREE!! #$% 12\nx | y\nx | y", "É é é|  \n\n", "w " * 300, "no end\\ [b]_` ^"]
 
@@ -59,3 +60,25 @@ def test_rows(spark, labelled):
     assert kept.columns == docs.columns and kept.count() == got.where("score >= 0.3").count()
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
     assert Q.scored(docs.where("false"), e).collect() == []
+
+
+def test_scores_equal_plain_code(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    e = Q.fit_on(docs, labels)
+    rows = docs.select("doc_id", "text").collect() + [(None, t) for t in TEXTS]
+    got = Q.scored(spark.createDataFrame(rows, "doc_id long, text string"), e).collect()
+    want = []
+    for _, text in rows:
+        x = dict(zip(Q.STATISTICS, plain(text)))
+        z = e.bias + sum(w for rule, w in e.rules if all(x[n] <= bound if at_most else x[n] > bound for n, at_most, bound in rule))
+        want.append(1 / (1 + math.exp(-z)))
+    assert np.allclose(sorted(r.score for r in got), sorted(want)) and np.allclose(e.scores(np.array([plain(t) for _, t in rows])), want)
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('good words here. ', int(id)) AS text").unionByName(spark.range(3000).selectExpr("cast(7 AS long) AS doc_id", "concat('again ', id) AS text"))
+    labels = spark.range(60).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    rows = training_rows(docs, labels, "quality", Q.FOLDS, Q.HELD_OUT, 20).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 20
+    assert training_rows(docs, labels, "quality", Q.FOLDS, Q.HELD_OUT, 1000).where("doc_id = 7").count() == (zlib.crc32(b"7") % 5 != 0)

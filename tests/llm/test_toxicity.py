@@ -103,3 +103,43 @@ def test_long_texts_and_repeated_ids_leave_the_rest_of_the_sample(spark):
 def test_one_class_is_said():
     with pytest.warns(UserWarning, match="no two classes"):
         assert T.fit([("a", 0)]).features == {}
+
+
+def test_document_scores_equal_all_paths(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["bad", "Worst,", "worse", "fine!", "a", "b"]) for _ in range(rng.randrange(0, 10)))) for i in range(40)] + [(90, None), (91, "")]
+    got = {r.doc_id: r.score for r in T.scored(spark.createDataFrame(rows, "doc_id long, text string"), CHAIN).collect()}
+    for i, text in rows:
+        tokens = [t.lower() for t in T.TOKEN.findall(text or "")]
+        p = [x for t, x in zip(tokens, brute(tokens)) if len(t) > 1] if tokens else []
+        top = min(max([*p, 0.0, 1e-4]), 1 - 1e-4)
+        z = CHAIN.curve[0] + CHAIN.curve[1] * math.log(top / (1 - top)) + CHAIN.curve[2] * math.log1p(sum(p))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_fitted_weights_are_the_most_likely():
+    windows = {(4, ((0, (0,), 1), (2, (1,), 0))): 5, (3, ((1, (0, 1), 1),)): 3, (4, ()): 6, (2, ((0, (1,), 0),)): 4, (3, ((0, (0,), 0),)): 1}
+    ridge = 0.5
+    chain = T.fit_chain(windows, ["x", "y"], rounds=4000, rate=0.05, ridge=ridge)
+
+    def likelihood(theta):
+        w, bias, start, move = theta[:2], theta[2], theta[3:5], theta[5:].reshape(2, 2)
+        out = -ridge / 2 * (theta**2).sum()
+        for (n, marks), count in windows.items():
+            def value(y):
+                own = sum(bias + sum(w[f] for p, fs, _ in marks if p == i for f in fs) for i in range(n) if y[i])
+                return start[y[0]] + sum(move[a][b] for a, b in zip(y, y[1:])) + own
+
+            gold = [0] * n
+            for p, _, label in marks:
+                gold[p] = label
+            out += count * (value(gold) - math.log(sum(math.exp(value([k >> i & 1 for i in range(n)])) for k in range(1 << n))))
+        return out
+
+    theta = np.array([chain.features["x"], chain.features["y"], chain.bias, *chain.start, *chain.move[0], *chain.move[1]])
+    best = likelihood(theta)
+    for i in range(len(theta)):
+        for step in (0.05, -0.05):
+            moved = theta.copy()
+            moved[i] += step
+            assert likelihood(moved) < best

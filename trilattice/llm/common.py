@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -75,3 +75,28 @@ def mapped(docs: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             yield pa.RecordBatch.from_arrays(b.columns, plain.names)
 
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, most: int, resolve: Callable = F.max, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, label) of at most `most` training documents, by a hash of their id; and of at most `most_bytes` of text.
+
+    Rows of the held-out fold, and without id, label or text, are no training rows. Rows that repeat an id are one
+    document, with the longest of their texts and the label that `resolve` makes of theirs. A text beyond a 64th of
+    `most_bytes` is passed over on its own, so that the bound on all text cuts the order only where the sample is full but
+    for such a part. The bounds hold for the rows returned, however often a table repeats them.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
+    known = known.groupBy("doc_id").agg(resolve(column).cast("int").alias("label"))
+    given = docs.where("text is not null").select("doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("mark"))
+    sized = given.select("doc_id", "n", "mark")
+    if most_bytes is not None:
+        sized = sized.where(F.col("n") <= most_bytes // 64)
+    longest = F.max(F.struct("n", "mark")).alias("longest")
+    merged = known.join(sized, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), longest).select("doc_id", "label", "longest.n", "longest.mark")
+    # the candidates are `most` rows, and so is all that is broadcast below
+    chosen = merged.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
+    if most_bytes is not None:
+        upto = F.sum("n").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+        chosen = chosen.withColumn("upto", upto).where(F.col("upto") <= most_bytes)
+    chosen = chosen.select("doc_id", "label", "n", "mark")
+    return given.join(F.broadcast(chosen), ["doc_id", "n", "mark"]).select("doc_id", "text", "label").dropDuplicates(["doc_id"])

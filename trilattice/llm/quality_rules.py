@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trilattice.llm.common import WORD, fold, table
+from trilattice.llm.common import WORD, fold, fresh, quoted, table, training_rows
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Bounds of the labelled sample, in rows of statistics, and of the ensemble.
@@ -23,12 +23,12 @@ STATISTICS = ("log_words", "word_length", "distinct_words", "repeated_words", "u
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, whether at most, bound)
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the statistics as columns `__q_<name>`; a null text counts as empty, for which all are 0."""
+def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "__q_") -> DataFrame:
+    """docs with the statistics as columns of the prefix, which no column of docs may have; a null text counts as empty, for which all are 0."""
     t = F.coalesce(F.col(text), F.lit(""))
-    parts = docs.withColumns({"__q_words": F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)), "__q_lines": F.split(t, "\n", -1), "__q_size": F.char_length(t)})
-    words, lines = F.col("__q_words"), F.col("__q_lines")
-    n, size = F.size(words), F.greatest(F.col("__q_size"), F.lit(1)).cast("double")
+    parts = docs.withColumns({f"{prefix}words": F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)), f"{prefix}lines": F.split(t, "\n", -1), f"{prefix}size": F.char_length(t)})
+    words, lines = F.col(f"{prefix}words"), F.col(f"{prefix}lines")
+    n, size = F.size(words), F.greatest(F.col(f"{prefix}size"), F.lit(1)).cast("double")
     many = F.greatest(n, F.lit(1)).cast("double")
     kept = lambda kind: F.char_length(F.regexp_replace(t, f"[^{kind}]+", ""))
     again = F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1))))
@@ -44,11 +44,11 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "digits": kept("0-9") / size,
         "letters": kept(r"\p{L}") / size,
         "ends": kept(".:;") / many,
-        "log_lines": F.log1p(F.when(F.col("__q_size") > 0, F.size(lines)).otherwise(0).cast("double")),
+        "log_lines": F.log1p(F.when(F.col(f"{prefix}size") > 0, F.size(lines)).otherwise(0).cast("double")),
         "repeated_lines": F.lit(1.0) - F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
     }
     # the partition number keeps the optimiser from copying the statistics into every comparison of a later filter
-    return parts.select(*docs.columns, *(c.alias(f"__q_{k}") for k, c in found.items()), F.spark_partition_id().alias("__q_part"))
+    return parts.select(*quoted(docs.columns), *(c.alias(f"{prefix}{k}") for k, c in found.items()), F.spark_partition_id().alias(f"{prefix}part"))
 
 
 @dataclass
@@ -58,13 +58,13 @@ class Ensemble:
     bias: float
     rules: list[tuple[Rule, float]]
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "__q_") -> Column:
         """The score as an expression over the columns of :func:`with_statistics`."""
         z = F.lit(self.bias)
         for rule, weight in self.rules:
             holds = None
             for name, at_most, bound in rule:
-                c = F.col(f"__q_{name}") <= bound if at_most else F.col(f"__q_{name}") > bound
+                c = F.col(prefix + name) <= bound if at_most else F.col(prefix + name) > bound
                 holds = c if holds is None else holds & c
             z = z + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -169,15 +169,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Ensemble:
-    """The ensemble of at most `most` training rows of `labels` found in docs, taken by a hash of their id.
-
-    Rows of the held-out fold, and without id or label, are no training rows. What reaches the driver are their statistics.
-    """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("__label"))
-    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "__label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most)
-    given = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(given).select("doc_id", "__label", *(f"__q_{s}" for s in STATISTICS)).collect()
+    """The ensemble of the statistics of :func:`training_rows`, of which at most `most` reach the driver."""
+    given = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, most, F.min)
+    rows = with_statistics(given).select("doc_id", "label", *(f"__q_{s}" for s in STATISTICS)).collect()
     rows = sorted(tuple(r) for r in rows)
     return fit(np.array([r[2:] for r in rows], float).reshape(-1, len(STATISTICS)), np.array([r[1] > 0 for r in rows], int))
 
@@ -189,8 +183,9 @@ def scored(docs: DataFrame, ensemble: Ensemble, key: str = "doc_id", text: str =
 
 
 def without_low_quality(docs: DataFrame, ensemble: Ensemble, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of docs that score at or above the threshold, all columns as they are."""
-    return with_statistics(docs, text).where((ensemble.column() >= threshold) & (F.col("__q_part") >= 0)).select(*docs.columns)
+    """The rows of docs that score at or above the threshold, all columns as they are, whatever their names."""
+    prefix = fresh(docs.columns, "__q_")
+    return with_statistics(docs, text, prefix).where((ensemble.column(prefix) >= threshold) & (F.col(f"{prefix}part") >= 0)).select(*quoted(docs.columns))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

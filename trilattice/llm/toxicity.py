@@ -20,10 +20,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trilattice.llm.common import fold, slices, table
+from trilattice.llm.common import fold, mapped, slices, table, training_rows
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Bounds of the labelled sample and of the model: documents, their UTF-8 bytes, features.
@@ -329,25 +329,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, most: int, most_bytes: int) -> list[tuple[str, int]]:
-    """(text, label) of at most `most` training documents and `most_bytes` of text, by a hash of their id.
-
-    Rows of the held-out fold, and without id, label or text, are no training rows. Rows that repeat an id are one
-    document, with the longest of their texts. A text beyond a 64th of `most_bytes` is passed over on its own, so that
-    the bound on all text cuts the order only where the sample is full but for such a part.
-    """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("__label"))
-    size, mark = F.octet_length("text").alias("n"), F.xxhash64("text").alias("mark")
-    sized = docs.select("doc_id", size, mark).where(F.col("n") <= most_bytes // 64)
-    longest = F.max(F.struct("n", "mark")).alias("text")
-    merged = known.join(sized, "doc_id").groupBy("doc_id").agg(F.max("__label").alias("__label"), longest).select("doc_id", "__label", "text.n", "text.mark")
-    # the candidates are `most` rows, and so is all that is broadcast below
-    first = merged.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
-    upto = F.sum("n").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = first.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "__label", "n", "mark")
-    given = docs.where("text is not null").select("doc_id", "text", size, mark)
-    rows = given.join(F.broadcast(chosen), ["doc_id", "n", "mark"]).select("doc_id", "text", "__label").dropDuplicates(["doc_id"]).collect()
-    return [(r["text"], int(r["__label"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    """(text, label) of the rows of :func:`training_rows`."""
+    rows = training_rows(docs, labels, column, folds, held_out, most, most_bytes=most_bytes).collect()
+    return [(r["text"], int(r["label"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def fit(sample: list[tuple[str, int]]) -> Chain:
@@ -401,7 +385,7 @@ def offending_spans(docs: DataFrame, chain: Chain, least: float = 0.5, key: str
 
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of docs that score below the threshold, all columns as they are."""
+    """The rows of docs that score below the threshold, all columns as they are, whatever their names."""
     at = docs.columns.index(text)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +393,7 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, t
         for b in slices(batches):
             yield b.filter(pa.array([scorer.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(of, docs.schema)
+    return mapped(docs, of, docs.schema)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
