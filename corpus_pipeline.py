@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trilattice.llm import mixing, quality_rules, simhash, spm_encode, toxicity
 from trilattice.llm.common import table
-from trilattice.session import stored
+from trilattice.session import discard, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints, that with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies, five-word shingles 0.8 or more alike, that with the smallest id."""
+    return simhash.keep_distinct(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from trilattice.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_one, near_duplicates
+from trilattice.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_distinct, keep_one, near_duplicates, shingle_set, similar_texts
 from trilattice.operators.graph import connected_components
 
 
@@ -85,3 +85,57 @@ def test_rows_and_edge_cases(spark):
     assert got[0][1] == "0" * 16 and all(f == f"{brute(t):016x}" for d, t, _ in rows for g, f, _ in got if d == g)
     assert sorted(str(r.doc_id) for r in keep_one(docs).collect()) == ["1", "3", "8", "None"]
     assert near_duplicates(docs.where("false")).collect() == []
+
+
+def plain_shingles(text, n=5):
+    words = (text or "").translate(str.maketrans("\t\n\v\f\r" + "".join(map(chr, range(65, 91))), " " * 5 + "".join(map(chr, range(97, 123))))).split(" ")
+    words = [w for w in words if w]
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+
+def similar_components(texts, least=0.8):
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_texts_equal_all_pairs(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    bases = [[rng.choice(words) for _ in range(rng.randrange(30, 200))] for _ in range(12)]
+    texts = []
+    for _ in range(160):
+        own = list(rng.choice(bases))
+        for _ in range(rng.randrange(0, 1 + len(own) // 25)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own).upper() if rng.random() < 0.3 else "  ".join(own))
+    texts += ["", None, " \n", "a b", "A  b", "a b c", "w " * 40_000]
+    assert all(len(shingle_set((t or "").encode(), 5)) == len(plain_shingles(t)) for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = similar_components(texts)
+    for settings in ({}, {"shard_rows": 7, "chunk_bytes": 4096}):
+        got = {r.doc_id: r.component_id for r in similar_texts(docs, **settings).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_kept_rows_and_clashing_columns(spark):
+    odd = ["kept_id", "a.b", "mine", "row", "kept", "node", "fp"]
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, base), (3, base.replace("w7 ", "x ")), (3, base), (None, "alone here"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, *[f"{k}-{c}" for c in odd]) for k, (i, t) in enumerate(rows)], ["doc_id", "text", *odd])
+    for keep in (keep_one, keep_distinct):
+        out = keep(docs)
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+        assert sorted(str(r.doc_id) for r in out.select("doc_id").collect()) == ["3", "8", "None"] + (["5"] if keep is keep_one and near_duplicates(docs).where("doc_id = 5 and component_id = 5").count() else [])
+        assert keep(docs.where("false")).collect() == []

@@ -16,10 +16,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trilattice.llm.common import byte_texts, slices, table, word_blocks
+from trilattice.llm.common import byte_texts, quoted, slices, table, word_blocks
 from trilattice.operators.graph import connected_components
-from trilattice.session import stored
+from trilattice.session import discard, stored
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 RADIUS, SHINGLE, SEED, BLOCKS, SHARD_ROWS = 4, 4, 42, 6, 20_000
@@ -118,9 +119,6 @@ class BKTree:
         return out
 
 
-SHARD_SCHEMA = "a long, b long, shard long, chunk int"
-
-
 def _block_spans(blocks: int) -> list[tuple[int, int]]:
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
@@ -138,72 +136,64 @@ def _shard_keys(fp: str, radius: int, blocks: int):
     return F.array(*keys)
 
 
-def _shard_links(radius: int, most: int):
-    """Per partition sorted by shard: links inside each shard; a shard above `most` codes is cut into chunks, whose members follow for the pairs between chunks."""
+def _signed(codes: list[int]) -> pa.Array:
+    return pa.array([x if x < 1 << 63 else x - (1 << 64) for x in codes], pa.int64())
 
-    def signed(x: int | None) -> int | None:
-        return x if x is None or x < 1 << 63 else x - (1 << 64)
+
+def _tree_links(radius: int):
+    """Partitions of (shard, fp) sorted by shard to links (a, b): one tree for each shard."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        out: list[tuple[int, int]] = []
 
-        def close(key: int, held: list[int], chunk: int, last: bool) -> None:
+        def close(held: list[int]) -> None:
             if len(held) > 1:
-                out.extend((a, b, None, None) for a, b in BKTree(held).links(radius))
-            if chunk or not last:
-                out.extend((a, None, key, chunk) for a in held)
+                out.extend(BKTree(held).links(radius))
 
         def flush() -> pa.RecordBatch:
-            a, b, shard, chunk = zip(*out)
+            a, b = zip(*out)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([*map(signed, a)], pa.int64()), pa.array([*map(signed, b)], pa.int64()), pa.array(shard, pa.int64()), pa.array(chunk, pa.int32())], ["a", "b", "shard", "chunk"])
+            return pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a", "b"])
 
-        key, held, chunk = None, [], 0
+        key, held = None, []
         for batch in batches:
             keys, codes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
             for a, b in zip(cuts, cuts[1:]):
                 if keys[a] != key:
-                    close(key, held, chunk, True)
-                    key, held, chunk = int(keys[a]), [], 0
-                for c in range(a, b, most):
-                    more = codes[c : min(b, c + most)].view(np.uint64).tolist()
-                    room = most - len(held)
-                    held += more[:room]
-                    if len(more) > room:
-                        close(key, held, chunk, False)
-                        held, chunk = more[room:], chunk + 1
+                    close(held)
+                    key, held = int(keys[a]), []
+                held += codes[a:b].view(np.uint64).tolist()
             if len(out) > 50_000:
                 yield flush()
-        close(key, held, chunk, True)
+        close(held)
         if out:
             yield flush()
 
     return of
 
 
-def fingerprint_links(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b): links that connect all distinct codes `fp` exactly as all pairs within the radius would.
+def sharded_links(spread: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(a, b): links that connect the distinct rows (shard, fp) of spread as all pairs of a shard within the radius would.
 
-    A shard beyond `shard_rows` codes is processed in chunks and then in pairs of chunks, each a task of its own,
-    so that no task holds more than two chunks however many codes agree on a shard.
+    Shards are counted first, with partial sums. One beyond `shard_rows` codes is dealt into chunks by a hash of the code
+    before any tree is built, and each pair of its chunks is a tree and a task's group of its own, so that no task streams
+    or holds more than two chunks however many codes agree on a shard.
     """
-    spread = codes.select("fp", F.explode(_shard_keys("fp", radius, blocks)).alias("shard")).select("shard", "fp")
-    run = _shard_links(radius, shard_rows)
-    first = stored(spread.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, SHARD_SCHEMA), "simhash-links")
-    inside = first.where("b is not null").select("a", "b")
-    members = first.where("b is null")
-    if members.isEmpty():
-        return inside
-    chunks = members.groupBy("shard").agg(F.max("chunk").alias("most"))
-    cells = (
-        members.join(chunks, "shard")
-        .select("a", "shard", "chunk", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("other"))
-        .where("chunk <> other")
-        .select(F.xxhash64("shard", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), F.col("a").alias("fp"))
-    )
-    across = cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_shard_links(radius, 2**62), SHARD_SCHEMA)
-    return inside.unionByName(across.where("b is not null").select("a", "b"))
+    sizes = spread.groupBy("shard").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > shard_rows)
+    crowded = stored(sizes.select("shard", F.ceil(F.col("many") / shard_rows).cast("int").alias("chunks")), "simhash-crowded")
+    groups = spread.select("shard", "fp")
+    if not crowded.isEmpty():
+        mine = F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col("chunks")).cast("int")
+        dealt = spread.join(crowded, "shard").withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunk <> other")
+        cells = dealt.select(F.xxhash64("shard", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("shard"), "fp")
+        groups = groups.join(crowded, "shard", "left_anti").select("shard", "fp").unionByName(cells)
+    return groups.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_tree_links(radius), "a long, b long")
+
+
+def fingerprint_links(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b): links that connect all distinct codes `fp` exactly as all pairs within the radius would."""
+    return sharded_links(codes.select("fp", F.explode(_shard_keys("fp", radius, blocks)).alias("shard")), radius, shard_rows)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -215,28 +205,204 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     empty one.
     """
     prints = stored(fingerprints(docs, text, key, shingle, seed), "simhash-fp")
-    nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    nodes = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
     parts = connected_components(fingerprint_links(nodes.select("fp"), radius, blocks, shard_rows), "a", "b")
-    marked = stored(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "simhash-nodes")
+    marked = stored(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    discard(nodes)
     ids = marked.groupBy("root").agg(F.min("least").alias("component_id"))
     found = marked.join(ids, "root").select("fp", "component_id")
     return prints.join(found, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with its component_id, all columns kept.
+def shingle_set(data: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of the word shingles of a text in lower case; fewer words than a shingle are one."""
+    hash64 = xxhash.xxh64_intdigest
+    found, carry, many = [], [], False
+    for words in word_blocks(data.translate(LOWER)):
+        words = carry + words
+        if len(words) >= shingle:
+            many = True
+            text = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            starts = [0, *ends[:-1].tolist()]
+            found.append(np.unique(np.array([hash64(text[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)))
+            carry = words[-(shingle - 1) :] if shingle > 1 else []
+        else:
+            carry = words
+    if not many:
+        return np.array([hash64(b" ".join(carry), seed)] if carry else [], np.uint64)
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def _multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _shards_of(hashes: np.ndarray, bands: int, width: int) -> list[int]:
+    """A signed key for each band of `width` least shingle hashes; none for a text without words."""
+    if not len(hashes):
+        return []
+    factors = _multipliers(bands * width)[:, None]
+    least = np.full(bands * width, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[None, at : at + 4096] * factors).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(bands, width))]
+
+
+def _set_code(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def _set_mark(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning star (member, first member) of each component of sets of Jaccard similarity at or above the bound.
+
+    The common shingles of one set with all sets not yet reached are counted in one pass over their numbers.
+    """
+    size = np.array([len(x) for x in sets])
+    ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(inverse, np.cumsum(size)[:-1])
+    mine = np.zeros(len(ids), bool)
+    live = np.arange(len(sets))
+    flat, starts = inverse, np.concatenate([[0], np.cumsum(size)[:-1]])
+    out = []
+    while len(live) > 1:
+        seed, queue = live[0], [live[0]]
+        reached = np.zeros(len(sets), bool)
+        reached[seed] = True
+        while queue:
+            keep = ~reached[live]
+            live = live[keep]
+            if not len(live):
+                break
+            if not keep.all():
+                flat = np.concatenate([own[i] for i in live])
+                starts = np.concatenate([[0], np.cumsum(size[live])[:-1]])
+            now = queue.pop()
+            mine[own[now]] = True
+            common = np.add.reduceat(mine[flat], starts, dtype=np.int64)
+            mine[own[now]] = False
+            hits = live[common >= similarity * (size[now] + size[live] - common)]
+            reached[hits] = True
+            queue += hits.tolist()
+            out += [(int(i), int(seed)) for i in hits]
+    return out
+
+
+def _compared(similarity: float):
+    """Partitions of (cell, node, set) sorted by cell and node to verified links (a, b)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets, out = None, [], [], []
+
+        def close() -> None:
+            if len(nodes) > 1:
+                out.extend((nodes[i], nodes[j]) for i, j in _similar(sets, similarity))
+            nodes.clear()
+            sets.clear()
+
+        def flush() -> pa.RecordBatch:
+            a, b = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in slices(batches, 64):
+            for cell, node, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != now:
+                    close()
+                    now = cell
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(np.frombuffer(data, np.uint64))
+            if len(out) > 50_000:
+                yield flush()
+        close()
+        if out:
+            yield flush()
+
+    return of
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 16, width: int = 4, shard_rows: int = SHARD_ROWS, chunk_bytes: int = 8 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id), one row per row of docs: texts linked whose sets of word shingles have a Jaccard similarity at or above the bound.
+
+    Texts of one set are one node. Candidates are SimHash fingerprints of the sets within `radius` bits, found by BK-trees;
+    as so wide a radius leaves no block of bits that a pair must share, a tree's shard is a band of least shingle
+    hashes. A pair at similarity 0.8 shares no band with probability 2e-4. Only connected candidates travel with their
+    sets: each group of them is compared exactly, a group beyond `chunk_bytes` of sets in chunks and pairs of chunks,
+    each a task's group of its own.
+
+    Texts without words are equal. component_id is the smallest non-null doc_id of the component, null if all are null.
+    Null texts are empty; repeated rows give repeated rows; other columns play no part; an empty table gives an empty one.
+    """
+    given = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    schema = given.select("doc_id").schema.add("mark", "binary", False).add("fp", "long", False).add("bytes", "long", False).add("shards", T.ArrayType(T.LongType(), False), False)
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(t, shingle) for t in byte_texts(b.column(1))]
+            columns = [pa.array([_set_mark(x) for x in sets], pa.binary()), _signed([_set_code(x) for x in sets]), pa.array([x.nbytes for x in sets], pa.int64()), pa.array([_shards_of(x, bands, width) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], schema.names)
+
+    prints = stored(given.mapInArrow(prints_of, schema), "similar-prints")
+    grouped = prints.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bytes").alias("bytes"), F.first("shards").alias("shards"))
+    nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "similar-nodes")
+    spread = nodes.select("fp", F.explode("shards").alias("shard")).distinct()
+    parts = connected_components(sharded_links(spread, radius, shard_rows), "a", "b")
+    placed = nodes.join(parts, nodes.fp == parts.node, "left").select("mark", "least", nodes.node, "bytes", F.coalesce("component", "fp").alias("part"))
+    placed = stored(placed, "similar-placed")
+    crowds = placed.groupBy("part").agg(F.count(F.lit(1)).alias("many"), F.sum("bytes").alias("all")).where("many > 1").select("part", F.ceil(F.col("all") / chunk_bytes).cast("int").alias("chunks"))
+    chosen = placed.join(crowds, "part").select("mark", "least", "node", "part", "chunks").hint("shuffle_hash")
+    sets_schema = "node long, part long, chunks int, set binary"
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(t, shingle) for t in byte_texts(b.column(0))]
+            # another text of a repeated id is another node's
+            same = pa.array([_set_mark(x) == m for x, m in zip(sets, b.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (2, 3, 4)), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "part", "chunks", "set"]).filter(same)
+
+    sets = given.join(chosen, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "mark", "node", "part", "chunks").mapInArrow(sets_of, sets_schema)
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = sets.withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunk <> other or chunks = 1")
+    cells = dealt.select(F.xxhash64("part", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "node", "set")
+    links = stored(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_compared(similarity), "a long, b long"), "similar-links")
+    joined = connected_components(links, "a", "b").withColumnRenamed("node", "of")
+    rooted = stored(placed.join(joined, placed.node == joined["of"], "left").select("mark", "least", F.coalesce("component", placed.node).alias("root")), "similar-roots")
+    for done in (nodes, placed, links):
+        discard(done)
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "mark").join(rooted.join(ids, "root").select("mark", "component_id"), "mark").select(F.col("doc_id").alias(key), "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is the component_id that (doc_id, component_id) gives it, all columns as they are, whatever their names.
 
     Of rows that repeat that doc_id one stays. Rows of a component without any non-null doc_id all stay, as
     nothing tells them apart.
     """
-    found = near_duplicates(docs, **settings)
-    kept = stored(found.where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "simhash-kept")
     # the kept ids grow with the corpus, so they are never broadcast; their side of each partition is hashed, and no text is sorted
-    ids = kept.select(F.col("doc_id").alias("kept_id")).hint("shuffle_hash")
-    once = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if kept.where("times > 1 and doc_id is not null").isEmpty():
-        return once
-    return once.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(once.where("doc_id is null"))
+    kept = stored(found.where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).select(F.struct("doc_id").alias("kept"), "times"), "simhash-kept")
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.struct(F.col(key).alias("doc_id")).alias("mine"))
+    once = rows.join(kept.hint("shuffle_hash"), F.col("mine.doc_id").eqNullSafe(F.col("kept.doc_id")), "left_semi")
+    if not kept.where("times > 1 and kept.doc_id is not null").isEmpty():
+        once = once.where("mine.doc_id is not null").dropDuplicates(["mine"]).unionByName(once.where("mine.doc_id is null"))
+    return once.select("row.*")
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs without linked fingerprints: of each component of :func:`near_duplicates` one, by the rules of :func:`one_of_each`."""
+    return one_of_each(docs, near_duplicates(docs, **settings))
+
+
+def keep_distinct(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs without near copies: of each component of :func:`similar_texts` one, by the rules of :func:`one_of_each`."""
+    return one_of_each(docs, similar_texts(docs, **settings))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
