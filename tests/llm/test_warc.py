@@ -6,6 +6,8 @@ import pytest
 import zstandard
 
 from trilattice.llm import warc
+from trilattice.llm.jpeg_media import op7_jpeg_media
+from trilattice.llm.token_count import op9_token_counts
 
 
 def brute(rows):
@@ -52,3 +54,22 @@ def test_oracle(spark):
     duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     want = sorted(duck.sql(warc.ORACLE).fetchall())
     assert sorted(tuple(r) for r in warc.op6_warc(spark, sf).collect()) == want
+
+
+def test_no_setting_of_the_session_changes(spark):
+    before = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsparkSession.conf().getAll())
+    before = {k: v for k, v in dict(before).items() if k != "spark.checkpoint.dir"}
+    for query in (warc.op6_warc, op7_jpeg_media, op9_token_counts):
+        query(spark, "/root/testdata/sf0.001").count()
+    after = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsparkSession.conf().getAll())
+    assert {k: v for k, v in dict(after).items() if k != "spark.checkpoint.dir"} == before
+
+
+def test_one_page_by_its_place(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (40 * i % 700)) for i in range(60)], "page_id long, url string, html string")
+    made = warc.write_archives(warc.with_revisits(pages), frame_bytes=2000, bundle_bytes=9000).collect()
+    assert len(made) > 1 and max(r["frame"] for m in made for r in m.records) > 1
+    for m in made:
+        for r in m.records:
+            assert warc.fetch(m.bundle, r["frame"], r["offset"])[0]["X-Page-ID"] == str(r["page_id"])
+    assert warc.read_archives(spark.createDataFrame(made)).count() == 60

@@ -115,8 +115,8 @@ def seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def read_frame(bundle: bytes, frame: int) -> bytes:
-    at, packed, plain = seek_table(bundle)[frame]
+def read_frame(bundle: bytes, frame: int, frames: list[tuple[int, int, int]] | None = None) -> bytes:
+    at, packed, plain = (frames or seek_table(bundle))[frame]
     return zstandard.ZstdDecompressor().decompress(bundle[at : at + packed], max_output_size=plain)
 
 
@@ -152,24 +152,30 @@ def write_archives(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_byte
 
 
 def read_archives(bundles: DataFrame) -> DataFrame:
-    """One row per record of the bundles, read back from their bytes; the digest of a response is that of the payload read."""
+    """One row per record that the index of the bundles (bundle, records) names, read from its frame and offset; the digest of a response is that of the payload read.
+
+    Frames are unpacked one at a time, each once; only what the index names is read.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4):
-            for bundle in b.column(0).to_pylist():
-                out = []
-                for frame in range(len(seek_table(bundle))):
-                    plain, at = read_frame(bundle, frame), 0
-                    while at < len(plain):
-                        h, payload, at = read_record(plain, at)
-                        page, kind, refers = h.get("X-Page-ID"), h["WARC-Type"], h.get("X-Refers-To-Page")
-                        size, digest = (len(payload), base32_sha1(payload)) if kind == "response" else (int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"))
-                        out.append((page and int(page), size, digest, kind, refers and int(refers)))
+            for bundle, index in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                frames, out, now, plain = seek_table(bundle), [], -1, b""
+                for place in sorted(index, key=lambda r: (r["frame"], r["offset"])):
+                    if place["frame"] != now:
+                        now = place["frame"]
+                        plain = read_frame(bundle, now, frames)
+                    h, payload, _ = read_record(plain, place["offset"])
+                    page, kind, refers = h.get("X-Page-ID"), h["WARC-Type"], h.get("X-Refers-To-Page")
+                    if (page and int(page)) != place["page_id"]:
+                        raise ValueError("the index names another record")
+                    size, digest = (len(payload), base32_sha1(payload)) if kind == "response" else (int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"))
+                    out.append((page and int(page), size, digest, kind, refers and int(refers)))
                 columns = list(zip(*out)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return bundles.select("bundle").mapInArrow(of, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return bundles.select("bundle", "records").mapInArrow(of, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def with_revisits(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
