@@ -72,3 +72,18 @@ def test_query_returns_the_ids(spark):
     rows = {r.doc_id: r for r in S.op4_sentencepiece(spark, "/root/testdata/sf0.001").collect()}
     for i, x in zip(t["doc_id"], t["text"]):
         assert list(rows[i].ids) == LIB.encode(x or "") and rows[i].decoded == (x or "").replace("▁", " ")
+
+
+def test_long_texts_in_parts_and_groups(monkeypatch):
+    monkeypatch.setattr(S, "PART", 50)
+    monkeypatch.setattr(S, "GROUP", 120)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "bc", " ", "  ", "\n", " the", "ing ", "é", "▁", "漢"]) for _ in range(rng.randrange(400))) for _ in range(60)] + ["x" * 500, " " * 300, ""]
+    spm = S.Encoder(S.Model(open(PATH, "rb").read()))
+    assert [list(i) for i in spm.encode(texts)] == LIB.encode(texts)
+    assert max(sum(1 for _ in spm.model.parts(t)) for t in texts) > 3
+
+
+def test_literal_marks_are_told(spark):
+    docs = spark.createDataFrame([(1, "a▁b"), (2, "a b"), (3, None)], "doc_id long, `a.b` string").withColumnRenamed("a.b", "text")
+    assert {r.doc_id: (r.decoded, r.round_trip) for r in S.encoded(docs, PATH, digests=True).collect()} == {1: ("a b", False), 2: ("a b", True), 3: ("", True)}

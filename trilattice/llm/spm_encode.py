@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from trilattice.llm.common import slices, table
+from trilattice.llm.common import fresh, mapped, quoted, slices, table
 
 #: Types of pieces in the model file, and its mark for a space. Fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 MARK = "▁"
 MEMO = 250_000
+#: Characters that are cut into words and encoded together, and beyond which a text is taken in parts.
+GROUP, PART = 1 << 22, 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,6 +96,7 @@ class Model:
             raise ValueError("a piece goes past the end of a word")
         apart = "" if "\n" in joined else "\n"
         self.words = re.compile(rf"{apart}| *[^ {apart}]+| +" if apart else r" *[^ ]+| +").findall
+        self.border = re.compile("[^ ] ").search
         self.texts = [self._bytes_of(i) for i in range(len(self.pieces))]
         self.forward = BpeForward(self) if self.bpe else UnigramForward(self)
 
@@ -118,11 +121,17 @@ class Model:
                 out.append(self.unknown)
         return tuple(out)
 
-    def marked(self, text: str) -> list[str]:
-        """The marked words of a text, laid end to end its normal form."""
-        if not text:
-            return []
-        return self.words((" " if self.dummy_prefix else "") + text.replace(MARK, " "))
+    def parts(self, text: str) -> Iterator[str]:
+        """The normal form of a text, cut before a space that begins a word where a part reaches PART characters."""
+        text = (" " if self.dummy_prefix else "") + text.replace(MARK, " ") if text else ""
+        at = 0
+        while len(text) - at > PART:
+            border = self.border(text, at + PART)
+            if border is None:
+                break
+            yield text[at : border.start() + 1]
+            at = border.start() + 1
+        yield text[at:]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: their bytes, without the space put in front."""
@@ -134,16 +143,23 @@ class BpeForward:
     """Forward states of a BPE model: the last piece of the encoding of each prefix."""
 
     def __init__(self, model: Model):
-        self.vocabulary = model.vocabulary
-        # the longest piece by its last three characters
-        self.reach: dict[str, int] = {}
+        self.model, self.vocabulary = model, model.vocabulary
+        # pieces as numbers: their ids, and numbers above all ids for characters that are no piece
+        self.number = dict(model.vocabulary)
+        self.names = [p.replace(MARK, " ") for p in model.pieces]
+        # by the last three characters, the lengths above one that a piece may have, the longest first, each with the piece where three characters tell it
+        found: dict[str, set[int]] = {}
         for p in model.vocabulary:
             if len(p) > 2:
-                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
+                found.setdefault(p[-3:], set()).add(len(p))
+        self.options: dict[str, tuple[tuple[int, int | None], ...]] = {}
+        for end, sizes in found.items():
+            sure = [(n, self.number[end[-n:]]) for n in (3, 2) if end[-n:] in self.number]
+            self.options[end] = (*((n, None) for n in sorted(sizes - {3}, reverse=True)), *sure)
         # merges of lower rank come first; single characters are never merged into
         self.rank = {p: -model.scores[i] if len(p) > 1 else -1.0 for p, i in model.vocabulary.items()}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.beside: dict[int, bool] = {}
 
     def merge(self, word: str) -> tuple[list[str], tuple[str, str] | None]:
         """The encoding by merging itself, the best rank and then the leftmost pair first; and the halves of the last merge."""
@@ -176,18 +192,17 @@ class BpeForward:
             self.halves[piece] = self.merge(piece)[1] if len(piece) > 1 else None
         return self.halves[piece]
 
+    def numbered(self, character: str) -> int:
+        """The number of one character, given at its first use if it is no piece."""
+        if character not in self.number:
+            self.number[character] = len(self.names)
+            self.names.append(character)
+        return self.number[character]
+
     def may_follow(self, a: str, b: str) -> bool:
-        """Whether merging a + b ends in these two pieces: no merge over their border comes before those within them."""
-        key = (a, b)
-        known = self.beside.get(key)
-        if known is None:
-            if len(self.beside) > 4 * MEMO:
-                self.beside.clear()
-            known = self.beside[key] = self._may_follow(a, b)
-        return known
-
-    def _may_follow(self, a: str, b: str) -> bool:
-        """Undoes the merges next to the border, the last one first. Of merges of one rank the leftmost comes first, so a
+        """Whether merging a + b ends in these two pieces: no merge over their border comes before those within them.
+
+        Undoes the merges next to the border, the last one first. Of merges of one rank the leftmost comes first, so a
         merge over the border is too late against one in a of the same rank and in time against one in b."""
         bound, same = float("inf"), True
         while True:
@@ -202,44 +217,67 @@ class BpeForward:
             else:
                 bound, same, b = self.rank[b], True, right[0]
 
-    def run(self, words: list[str]) -> Iterator[list[str]]:
-        """Pieces of each of the sorted words."""
-        ends: list[str] = [""]
-        vocabulary, reach, may_follow = self.vocabulary, self.reach, self.may_follow
+    def run(self, words: list[str]) -> Iterator[Iterable[int]]:
+        """Ids of each of the sorted words.
+
+        Of the pieces that end a prefix the longest that may stand there is its state; where none of two characters or
+        more may, it is the last character, as every prefix has an encoding.
+        """
+        names, beside, ending, get, base = self.names, self.beside, self.options.get, self.number.get, len(self.model.pieces)
+        ends: list[int] = [0]
+        sizes: list[int] = [0]
         before = ""
         for word in words:
             if word.startswith("  "):
                 # pieces of spaces share one score, so that their order is no rank
-                yield self.merge(word)[0]
+                yield self.model.ids_of(self.merge(word)[0])
                 continue
             same = _common(before, word)
-            del ends[same + 1 :]
+            del ends[same + 1 :], sizes[same + 1 :]
             before = word
             for i in range(same + 1, len(word) + 1):
-                for j in range(max(0, i - reach.get(word[i - 3 : i], 2)) if i > 2 else 0, i):
-                    piece = word[j:i]
-                    if (piece in vocabulary or j == i - 1) and (not j or may_follow(ends[j], piece)):
-                        ends.append(piece)
-                        break
+                options = ending(word[i - 3 : i]) if i > 2 else None
+                if options is None:
+                    options = ((2, get(word[i - 2 : i])),) if i > 1 else ()
+                for n, piece in options:
+                    j = i - n
+                    if piece is None and (j < 0 or (piece := get(word[j:i])) is None):
+                        continue
+                    if j:
+                        key = ends[j] << 32 | piece
+                        fits = beside.get(key)
+                        if fits is None:
+                            if len(beside) > 4 * MEMO:
+                                beside.clear()
+                            fits = beside[key] = self.may_follow(names[ends[j]], names[piece])
+                        if not fits:
+                            continue
+                    break
                 else:
-                    raise ValueError("a prefix without an encoding")
+                    n, piece = 1, get(word[i - 1])
+                    if piece is None:
+                        piece = self.numbered(word[i - 1])
+                ends.append(piece)
+                sizes.append(n)
             out, i = [], len(word)
             while i:
                 out.append(ends[i])
-                i -= len(ends[i])
-            yield out[::-1]
+                i -= sizes[i]
+            out.reverse()
+            yield out if max(out) < base else self.model.ids_of(map(names.__getitem__, out))
 
 
 class UnigramForward:
     """Forward states of a unigram model: best score and last piece of each prefix."""
 
     def __init__(self, model: Model):
+        self.model = model
         self.scores = {p: model.scores[i] for p, i in model.vocabulary.items() if model.kinds[i] == NORMAL}
         self.longest = model.longest
         self.unknown = min(self.scores.values()) - 10.0
 
-    def run(self, words: list[str]) -> Iterator[list[str]]:
-        """Pieces of each of the sorted words."""
+    def run(self, words: list[str]) -> Iterator[Iterable[int]]:
+        """Ids of each of the sorted words."""
         best, ends, before = [0.0], [""], ""
         for word in words:
             same = _common(before, word)
@@ -257,7 +295,7 @@ class UnigramForward:
             while i:
                 out.append(ends[i])
                 i -= len(ends[i])
-            yield out[::-1]
+            yield self.model.ids_of(out[::-1])
 
 
 def _common(a: str, b: str) -> int:
@@ -278,26 +316,35 @@ class Encoder:
         self.model, self.memo, self.known, self.older = model, memo, {}, {}
 
     def encode(self, texts: list[str]) -> list[array]:
-        words = [self.model.marked(t) for t in texts]
+        """The ids of each text. Words of one group of parts are sorted together; no more than that is held as words."""
+        out = [array("i") for _ in texts]
+        owners, parts, size = [], [], 0
+        for i, text in enumerate(texts):
+            for part in self.model.parts(text):
+                owners.append(i)
+                parts.append(part)
+                size += len(part)
+                if size >= GROUP:
+                    self._group(owners, parts, out)
+                    owners, parts, size = [], [], 0
+        self._group(owners, parts, out)
+        return out
+
+    def _group(self, owners: list[int], parts: list[str], out: list[array]) -> None:
+        words = list(map(self.model.words, parts))
         if len(self.known) > self.memo:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
-        for w in set().union(*words):
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
+        for w in set().union(*words).difference(known):
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
         new.sort()
-        for w, pieces in zip(new, self.model.forward.run(new)):
-            known[w] = self.model.ids_of(pieces)
-        out = []
-        for own in words:
-            ids = array("i")
-            for w in own:
-                ids.extend(known[w])
-            out.append(ids)
-        return out
+        for w, ids in zip(new, self.model.forward.run(new)):
+            known[w] = array("i", ids).tobytes()
+        for i, own in zip(owners, words):
+            out[i].frombytes(b"".join([known[w] for w in own]))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -319,36 +366,45 @@ def encoded(docs: DataFrame, path: str, text: str = "text", digests: bool = Fals
     """docs with the columns ids (array of int) and decoded (string) in place of any of these names.
 
     With `digests` n_ids, ids_md5 (over the ids as little-endian 32-bit numbers) and round_trip follow, all derived from
-    these two columns.
+    these two columns; round_trip is whether decoded is the text, which it is not where the text holds a literal mark.
 
     ids are the library's for the whole text; decoded is what decoding the ids gives, the text itself but for marks
-    that the text holds literally. Null texts are empty and have no ids. All other columns pass through unread; an
+    that the text holds literally. Null texts are empty and have no ids. All other columns pass through unread, whatever their names; an
     empty table gives an empty one. `path` names a model file that each executor has.
     """
     added = ADDED + DIGESTS if digests else ADDED
     kept = [c for c in docs.columns if c not in added]
-    given = docs.select(*kept, docs[text].alias("__text")) if text not in kept else docs.select(*kept)
-    at = given.columns.index(text if text in kept else "__text")
-    schema = docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType(), False), False).add("decoded", "string", False)
+    given = docs.select(*quoted(kept), docs[text].alias(fresh(docs.columns, "text"))) if text not in kept else docs.select(*quoted(kept))
+    at = kept.index(text) if text in kept else len(kept)
+    schema = docs.select(*quoted(kept)).schema.add("ids", T.ArrayType(T.IntegerType(), False), False).add("decoded", "string", False)
     if digests:
         schema = schema.add("n_ids", "long", False).add("ids_md5", "string", False).add("round_trip", "boolean", False)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spm = encoder(path)
-        for b in slices(batches):
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            ids = spm.encode(texts)
+    def flushed(spm: Encoder, held: list[tuple[pa.RecordBatch, list[str]]]) -> Iterator[pa.RecordBatch]:
+        every, at_ = spm.encode([t for _, texts in held for t in texts]), 0
+        for b, texts in held:
+            ids, at_ = every[at_ : at_ + len(texts)], at_ + len(texts)
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            values = np.concatenate([np.frombuffer(x, np.int32) for x in ids]) if len(ids) else np.zeros(0, np.int32)
+            values = np.frombuffer(b"".join(ids), np.int32)
             decoded = [spm.model.decode(x) for x in ids]
             out = [*(b.column(k) for k in range(len(kept))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(decoded, pa.string())]
             if digests:
-                same = [d == t.replace(MARK, " ") for d, t in zip(decoded, texts)]
+                same = [d == t for d, t in zip(decoded, texts)]
                 md5 = [hashlib.md5(x.tobytes()).hexdigest() for x in ids]
                 out += [pa.array(map(len, ids), pa.int64()), pa.array(md5, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, [*kept, *added])
 
-    return given.mapInArrow(of, schema)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spm, held, size = encoder(path), [], 0
+        for b in slices(batches):
+            held.append((b, [t or "" for t in b.column(at).to_pylist()]))
+            size += sum(map(len, held[-1][1]))
+            if size >= GROUP:
+                yield from flushed(spm, held)
+                held, size = [], 0
+        yield from flushed(spm, held)
+
+    return mapped(given, of, schema)
 
 
 def model_path() -> str:
