@@ -136,15 +136,42 @@ def test_loops_box_and_gaps(spark):
     out, inn = [(-1, -1), (1, -1), (1, 1), (-1, 1)], [(-0.3, -0.3), (0.3, -0.3), (0.3, 0.3), (-0.3, 0.3)]
     elements = [t for i in range(4) for t in ((i, (i + 1) % 4, 4 + i), ((i + 1) % 4, 4 + (i + 1) % 4, 4 + i))]
     ring = from_rows(spark, [(x, y, 1) for x, y in out + inn], elements)
-    assert sorted(len(g) for g in W.walk_loops([(r.u, r.v) for r in P.rim_edges(ring.elements).collect()])) == [4, 4]
+    assert sorted(r["count"] for r in W.loops(ring).groupBy("loop").count().collect()) == [4, 4]
     b = W.classify_by_box(ring, (-1, -1, 1, -1), 0.1).orderBy("kind", "seg_id", "pos").collect()
     assert [(r.kind, r.seg_id, r.ibtype, r.node_id) for r in b] == [("land", 0, 0, i) for i in (2, 3, 0)] + [("land", 1, 0, i) for i in (4, 5, 6, 7)] + [("open", 0, None, i) for i in (0, 1, 2)]
     flags = [True, True, False, True, True, False]
-    assert sum(o for o, _ in W.split_ring(list(range(6)), flags)) == 2 and sum(o for o, _ in W.split_ring(list(range(6)), flags, 1)) <= 1
+    given = spark.createDataFrame([("a", i, 10 + i, f) for i, f in enumerate(flags)] + [("b", i, 20 + i, True) for i in range(4)], "mesh_id string, pos int, node_id long, is_open boolean")
+    split = lambda gap: sorted((r.mesh_id, r.is_open, r.part, [x.node_id for x in sorted(r.ids)]) for r in W.split_rings(given, gap).groupBy("mesh_id", "is_open", "part").agg(F.collect_list(F.struct("pos", "node_id")).alias("ids")).collect())
+    assert split(0) == [("a", False, 0, [12, 13]), ("a", False, 1, [15, 10]), ("a", True, 0, [10, 11, 12]), ("a", True, 1, [13, 14, 15]), ("b", True, 0, [20, 21, 22, 23])]
+    assert split(1) == [("a", True, 0, [10, 11, 12, 13, 14, 15]), ("b", True, 0, [20, 21, 22, 23])]
     df = spark.createDataFrame([("a", i, f) for i, f in enumerate([True, True, False, True, True, False, False, False])], "k string, pos int, is_open boolean")
     assert [r.is_open for r in B.bridge_gaps(df, ["k"], 1).orderBy("pos").collect()] == [True, True, True, True, True, False, False, False]
 
 
+def test_loops_that_share_a_node(spark):
+    # two triangles that touch in node 2, one of them clockwise, and a square with a hole that touches its rim
+    bow = from_rows(spark, [(0, 0, 1), (2, 0, 1), (1, 1, 1), (0, 2, 1), (2, 2, 1)], [(0, 1, 2), (2, 3, 4)])
+    rings = lambda m: sorted([x.node_id for x in sorted(r.ids)] for r in W.loops(m).groupBy("loop").agg(F.collect_list(F.struct("pos", "node_id")).alias("ids")).collect())
+    assert rings(bow) == [[0, 1, 2], [2, 3, 4]]
+    grid = [(i, j, 1) for j in range(4) for i in range(4)]
+    whole = [t for j in range(3) for i in range(3) for k in [j * 4 + i] for t in ((k, k + 1, k + 5), (k, k + 5, k + 4))]
+    left = [t for t in whole if t not in ((0, 1, 5), (5, 6, 10))]
+    found = rings(from_rows(spark, grid, left))
+    assert sorted(map(len, found)) == [3, 13] and [5, 6, 10] in found
+
+
+def test_parts_of_a_cut_triangle():
+    at = {"n0": (0.0, 0.0), "n1": (4.0, 0.0), "n2": (0.0, 4.0), "m0": (2.0, 0.0), "m1": (2.0, 2.0), "m2": (0.0, 2.0)}
+    area = lambda t: ((at[t[1]][0] - at[t[0]][0]) * (at[t[2]][1] - at[t[0]][1]) - (at[t[2]][0] - at[t[0]][0]) * (at[t[1]][1] - at[t[0]][1])) / 2
+    for k in range(8):
+        cut = {i for i in range(3) if k >> i & 1}
+        parts = R.parts_of(cut)
+        assert len(parts) == 1 + len(cut) and all(area(t) > 0 for t in parts) and sum(map(area, parts)) == 8
+        assert {c for t in parts for c in t} == {"n0", "n1", "n2", *(f"m{i}" for i in cut)}
+    turned = lambda t: min((t[i:] + t[:i] for i in range(3)))
+    assert {turned(t) for t in R.parts_of({0, 2})} == {turned(t) for t in (("n0", "m0", "m2"), ("n1", "n2", "m0"), ("n2", "m2", "m0"))}
+
+
 def test_rivers(spark):
     lon = [139.0, 139.2, 139.4, 139.6, 139.8]
     m = from_rows(spark, [(x, 35, 1) for x in lon] + [(x, 34.5, 1) for x in lon], [], [[5, 6, 7, 8, 9]], [(0, [0, 1, 2, 3, 4])])

@@ -119,13 +119,8 @@ def area_change(m):
     return D.area_changes(m).select("u", "v", r6("change"))
 
 
-@query("""SELECT e.elem_id, count(DISTINCT n.elem_id) AS near FROM (SELECT elem_id FROM elements WHERE elem_id % 500 = 0) e JOIN corner c USING (elem_id) JOIN corner d ON d.node_id = c.node_id JOIN corner f ON f.elem_id = d.elem_id JOIN corner n ON n.node_id = f.node_id GROUP BY e.elem_id""")
-def kring(m):
-    return P.k_ring(m, m.elements.where("elem_id % 500 = 0"), 2).groupBy(F.col("seed").alias("elem_id")).agg(F.count(F.lit(1)).alias("near"))
-
-
 @query("""SELECT e.elem_id, count(DISTINCT n.elem_id) AS near FROM elements e JOIN corner c USING (elem_id) JOIN corner d ON d.node_id = c.node_id JOIN corner f ON f.elem_id = d.elem_id JOIN corner n ON n.node_id = f.node_id GROUP BY e.elem_id""")
-def kring_all(m):
+def kring(m):
     return P.k_ring(m, m.elements, 2).groupBy(F.col("seed").alias("elem_id")).agg(F.count(F.lit(1)).alias("near"))
 
 
@@ -489,22 +484,12 @@ def channel_width(m):
     return S.two_bank_width(centre, samples, 30.0, ["elem_id"], ["kind", "seg_id"]).select("elem_id", r6("width"))
 
 
-@query("""dem AS (SELECT (node_id // 50)::INTEGER AS r, (node_id % 50)::INTEGER AS c, 8 - depth AS z FROM nodes WHERE node_id < 2500), p AS (SELECT node_id, x - 0.3 AS cf, y - 0.3 AS rf FROM nodes WHERE node_id < 5000),
-q AS (SELECT *, greatest(0, least(48, floor(cf - 0.5)))::INTEGER AS c0, greatest(0, least(48, floor(rf - 0.5)))::INTEGER AS r0, cf >= 0 AND cf <= 50 AND rf >= 0 AND rf <= 50 AS ok FROM p),
-f AS (SELECT *, least(1, greatest(0, cf - 0.5 - c0)) AS fc, least(1, greatest(0, rf - 0.5 - r0)) AS fr FROM q),
-z AS (SELECT node_id, CASE WHEN ok THEN (1 - fr) * ((1 - fc) * a.z + fc * b.z) + fr * ((1 - fc) * e.z + fc * g.z) ELSE 0 END AS z FROM f JOIN dem a ON a.r = r0 AND a.c = c0 JOIN dem b ON b.r = r0 AND b.c = c0 + 1 JOIN dem e ON e.r = r0 + 1 AND e.c = c0 JOIN dem g ON g.r = r0 + 1 AND g.c = c0 + 1)
-SELECT node_id, round(CASE WHEN z >= 0 THEN 0 ELSE -z END, 6) AS depth FROM z""")
-def raster_sample(m):
-    raster = m.nodes.where("node_id < 2500").select(F.floor(F.col("node_id") / 50).cast("int").alias("row"), (F.col("node_id") % 50).cast("int").alias("col"), (F.lit(8) - F.col("depth")).alias("z"))
-    return S.sample_raster(m.nodes.where("node_id < 5000").select("node_id", "x", "y"), raster, (0.3, 0.3, 1.0, 1.0), (50, 50), ["node_id"]).select("node_id", r6("depth"))
-
-
 @query("""dem AS (SELECT (node_id // 50)::INTEGER AS r, (node_id % 50)::INTEGER AS c, 8 - depth AS z FROM nodes), p AS (SELECT node_id, x - 0.3 AS cf, y - 0.3 AS rf, (top // 50 + 1)::INTEGER AS rows FROM nodes, top),
 q AS (SELECT *, greatest(0, least(48, floor(cf - 0.5)))::INTEGER AS c0, greatest(0, least(rows - 2, floor(rf - 0.5)))::INTEGER AS r0, cf >= 0 AND cf <= 50 AND rf >= 0 AND rf <= rows AS ok FROM p),
 f AS (SELECT *, least(1, greatest(0, cf - 0.5 - c0)) AS fc, least(1, greatest(0, rf - 0.5 - r0)) AS fr FROM q),
 z AS (SELECT node_id, CASE WHEN ok THEN coalesce((1 - fr) * ((1 - fc) * a.z + fc * b.z) + fr * ((1 - fc) * e.z + fc * g.z), 0) ELSE 0 END AS z FROM f LEFT JOIN dem a ON a.r = r0 AND a.c = c0 LEFT JOIN dem b ON b.r = r0 AND b.c = c0 + 1 LEFT JOIN dem e ON e.r = r0 + 1 AND e.c = c0 LEFT JOIN dem g ON g.r = r0 + 1 AND g.c = c0 + 1)
 SELECT node_id, round(CASE WHEN z >= 0 THEN 0 ELSE -z END, 6) AS depth FROM z""")
-def raster_sample_all(m):
+def raster_sample(m):
     raster = m.nodes.select(F.floor(F.col("node_id") / 50).cast("int").alias("row"), (F.col("node_id") % 50).cast("int").alias("col"), (F.lit(8) - F.col("depth")).alias("z"))
     rows = m.nodes.agg(F.max("node_id")).first()[0] // 50 + 1
     return S.sample_raster(m.nodes.select("node_id", "x", "y"), raster, (0.3, 0.3, 1.0, 1.0), (rows, 50), ["node_id"]).select("node_id", r6("depth"))
