@@ -107,14 +107,15 @@ def element_components(elements: DataFrame) -> DataFrame:
     kept = stored(elements.select(MESH, "elem_id", "n0", "n1", "n2"), "elements")
     meshes = kept.select(MESH).distinct().count()
     if meshes <= 1:
-        parts = connected_components(dual(kept).where("a < b"), "a", "b")
+        # neighbours have close ids, so that ranges of ids are nearly whole parts of the mesh
+        parts = connected_components(dual(kept).where("a < b").repartitionByRange("a"), "a", "b")
         return kept.select(MESH, "elem_id").join(parts, F.col("elem_id") == F.col("node"), "left").select(MESH, "elem_id", F.coalesce("component", "elem_id").alias("label"))
     # several meshes: number their elements through one another, least id first within each
     numbered = stored(kept.select(MESH, "elem_id").withColumn("at", F.monotonically_increasing_id()), "numbered")
     one = numbered.select(MESH, F.col("elem_id").alias("a"), F.col("at").alias("at_a"))
     two = numbered.select(MESH, F.col("elem_id").alias("b"), F.col("at").alias("at_b"))
     links = dual(kept).where("a < b").join(one, [MESH, "a"]).join(two, [MESH, "b"])
-    parts = connected_components(links, "at_a", "at_b")
+    parts = connected_components(links.repartitionByRange("at_a"), "at_a", "at_b")
     placed = numbered.join(parts, F.col("at") == F.col("node"), "left").select(MESH, "elem_id", F.coalesce("component", "at").alias("root"))
     named = placed.groupBy("root").agg(F.min("elem_id").alias("label"))
     return placed.join(named, "root").select(MESH, "elem_id", "label")
