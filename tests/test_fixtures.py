@@ -132,6 +132,21 @@ def test_weld_combine_and_compact(spark):
     assert [tuple(r)[1:] for r in left.elements.collect()] == [(0, 0, 1, 2)] and left.boundary.count() == 0
 
 
+def test_gate_in_degrees_and_with_missing_nodes(spark):
+    step = 0.01
+    nodes = [(139 + i * step, 35 + j * step, 5) for j in range(4) for i in range(4)]
+    elements = [t for j in range(3) for i in range(3) for k in [j * 4 + i] for t in (((k, k + 1, k + 5), (k, k + 5, k + 4)))]
+    m = from_rows(spark, nodes, elements, [[4, 8]], [(0, [8, 12, 13, 14, 15, 11, 7, 3, 2, 1, 0, 4])])
+    flat = G.in_metres(m).nodes.orderBy("node_id").collect()
+    assert abs(flat[4].y - flat[0].y - 1111.95) < 0.1 and abs(flat[1].x - flat[0].x - 910.7) < 0.5
+    assert G.in_metres(m, "metric").nodes.exceptAll(m.nodes).isEmpty()
+    report = {r.check: r for r in G.report(m).collect()}
+    assert len(report) == len(G.CHECKS) and report["no_tiny_area"].violations == report["no_duplicate_nodes"].violations == 0
+    assert {r.check: r for r in G.report(m, coords="metric").collect()}["no_tiny_area"].violations == 0
+    broken = from_rows(spark, nodes, [*elements, (0, 1, 99)], [[4, 8]], [])
+    assert [(r.check, r.violations, r.passed) for r in G.report(broken).collect()] == [("node_index_valid", 1, False)]
+
+
 def test_loops_box_and_gaps(spark):
     out, inn = [(-1, -1), (1, -1), (1, 1), (-1, 1)], [(-0.3, -0.3), (0.3, -0.3), (0.3, 0.3), (-0.3, 0.3)]
     elements = [t for i in range(4) for t in ((i, (i + 1) % 4, 4 + i), ((i + 1) % 4, 4 + (i + 1) % 4, 4 + i))]

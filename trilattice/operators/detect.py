@@ -12,7 +12,7 @@ from trilattice.operators import topology as P
 from trilattice.operators.topology import MESH
 
 #: Limits of the acceptance gate.
-LIMITS = {"min_angle": 30.0, "max_angle": 130.0, "area_change": 0.5, "valence": 8, "depth": 2.0, "tiny_area": 1e-6, "perp": 20.0, "delaunay": 180.1, "duplicate": 1e-3, "depth_floor": 0.1, "gravity": 9.81}
+LIMITS = {"min_angle": 30.0, "max_angle": 130.0, "area_change": 0.5, "valence": 8, "depth": 2.0, "tiny_area": 1e-6, "perp": 20.0, "delaunay": 180.1, "duplicate": 1e-3, "min_dt": 0.0, "depth_floor": 0.1, "gravity": 9.81}
 
 
 def dead_ends(mesh: Mesh) -> DataFrame:

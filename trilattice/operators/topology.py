@@ -49,9 +49,16 @@ def half_edges(elements: DataFrame) -> DataFrame:
     return elements.select(MESH, "elem_id", F.inline(F.array(pair("n0", "n1"), pair("n1", "n2"), pair("n2", "n0"))))
 
 
+def with_stored_edges(elements: DataFrame) -> DataFrame:
+    """elements, whose edge table is stored once for all that asks for it."""
+    elements._trilattice_edges = stored(edges(elements), "edges")
+    return elements
+
+
 def edges(elements: DataFrame) -> DataFrame:
     """(mesh_id, u, v, uses, first_elem, last_elem); the elements are those with the least and greatest id at the edge."""
-    return half_edges(elements).groupBy(MESH, "u", "v").agg(F.count(F.lit(1)).alias("uses"), F.min("elem_id").alias("first_elem"), F.max("elem_id").alias("last_elem"))
+    known = getattr(elements, "_trilattice_edges", None)
+    return known if known is not None else half_edges(elements).groupBy(MESH, "u", "v").agg(F.count(F.lit(1)).alias("uses"), F.min("elem_id").alias("first_elem"), F.max("elem_id").alias("last_elem"))
 
 
 def rim_edges(elements: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def edge_nodes(edge: DataFrame) -> DataFrame:
 
 def neighbours(elements: DataFrame) -> DataFrame:
     """(mesh_id, node_id, other) for both directions of every distinct edge."""
-    e = half_edges(elements).select(MESH, "u", "v").distinct()
+    e = edges(elements).select(MESH, "u", "v")
     way = lambda a, b: F.struct(F.col(a).alias("node_id"), F.col(b).alias("other"))
     return e.select(MESH, F.inline(F.array(way("u", "v"), way("v", "u"))))
 
