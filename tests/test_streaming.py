@@ -9,4 +9,4 @@ def test_gate_over_arriving_meshes(spark, tmp_path):
     seen = {}
     q = watch(spark, str(tmp_path / "elements"), lambda: m.nodes, lambda: m.boundary, lambda r, i: seen.update({i: r.collect()}), str(tmp_path / "ck"))
     q.awaitTermination(120)
-    assert len(seen) == 1 and all(r.passed and r.mesh_id == "a" for r in seen[0]) and len(seen[0]) == 22
+    assert len(seen) == 1 and all(r.passed and r.mesh_id == "a" for r in seen[0]) and len(seen[0]) == 23
