@@ -109,13 +109,61 @@ def ring_areas(ring: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def polyline_samples(mesh: Mesh, boundary: DataFrame, spacing: float) -> DataFrame:
-    """(mesh_id, kind, seg_id, pos, step, x, y, arc): each edge of a polyline cut in ceil(length / spacing) + 1 >= 2 points without its end, then the last node."""
+    """(mesh_id, kind, seg_id, pos, step, sx, sy, arc): n = ceil(length / spacing) + 1 >= 2 points at i / n of each edge, i < n, then the last node."""
     w = along()
     p = placed(mesh, boundary).withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)})
     p = p.withColumn("len", T.distance((F.col("x"), F.col("y")), (F.col("nx"), F.col("ny"))))
     p = p.withColumn("start", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     p = p.withColumn("n", F.when(F.col("nx").isNull(), 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("len") / spacing) + 1)).cast("int"))
-    p = p.withColumn("step", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 2, F.lit(0)))))
-    t = F.when(F.col("n") > 1, F.col("step") / (F.col("n") - 1)).otherwise(F.lit(0.0))
+    p = p.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    t = F.col("step") / F.col("n")
     along_ = lambda a, b: F.coalesce(F.col(a) + t * (F.col(b) - F.col(a)), F.col(a))
     return p.select(*SEGMENT, "pos", "step", along_("x", "nx").alias("sx"), along_("y", "ny").alias("sy"), (F.col("start") + F.coalesce(t * F.col("len"), F.lit(0.0))).alias("arc"))
+
+
+def line_samples(points: DataFrame, keys: list[str], spacing: float, latitude: float, radius: float = 6_371_000.0) -> DataFrame:
+    """(keys, k, x, y, depth): even samples along lines (keys, pos, x, y, depth) in degrees, about `spacing` metres apart, one spacing left free at either end.
+
+    A line of two spacings or less has none. Each edge makes the samples that fall on it, so that no line is gathered
+    beyond its window.
+    """
+    lat = F.lit(180.0 / (radius * 3.141592653589793))
+    lon = lat / F.greatest(F.cos(F.radians(F.lit(latitude))), F.lit(1e-6))
+    w, whole = Window.partitionBy(*keys).orderBy("pos"), Window.partitionBy(*keys)
+    p = points.withColumns({f"n{c}": F.lead(c).over(w) for c in ("x", "y", "depth")})
+    p = p.withColumn("len", T.distance((F.col("x") / lon, F.col("y") / lat), (F.col("nx") / lon, F.col("ny") / lat)))
+    p = p.withColumn("start", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("total", F.sum("len").over(whole)).withColumn("final", F.lead("nx").over(w).isNull())
+    p = p.where(F.col("nx").isNotNull() & (F.col("total") > 2 * spacing))
+    last = F.col("total") - spacing
+    p = p.withColumn("n", F.floor((last - spacing) / spacing) + 1)
+    gap = F.when(F.col("n") > 1, (last - spacing) / (F.col("n") - 1)).otherwise(F.lit(spacing))
+    p = p.withColumn("gap", gap).withColumns({"low": F.greatest(F.lit(0), F.floor((F.col("start") - spacing) / F.col("gap"))), "high": F.least(F.col("n") - 1, F.ceil((F.col("start") + F.col("len") - spacing) / F.col("gap")))})
+    s = p.where("low <= high").withColumn("k", F.explode(F.sequence("low", "high"))).withColumn("s", F.lit(spacing) + F.col("k") * F.col("gap"))
+    s = s.where((F.col("s") >= F.col("start")) & ((F.col("s") < F.col("start") + F.col("len")) | F.col("final")))
+    t = (F.col("s") - F.col("start")) / F.greatest(F.col("len"), F.lit(1e-12))
+    return s.select(*keys, "k", *((F.col(c) + t * (F.col(f"n{c}") - F.col(c))).alias(c) for c in ("x", "y", "depth")))
+
+
+def band(arcs: DataFrame, keys: list[str], factor: float = 1.25, skip: int = 1, passes: int = 2, taper: str = "linear-ends", metres: float = 111e3) -> DataFrame:
+    """(keys, pos, offset, x, y): a line left of arcs (keys, pos, x, y, h) in degrees, `factor` times h metres off, without `skip` nodes at each end.
+
+    With "linear-ends" the offsets run evenly from the first to the last; with "local" they follow h, averaged over
+    three nodes `passes` times, the ends fixed. Arcs of fewer than three nodes, or with no node left, have no line.
+    """
+    if taper not in ("linear-ends", "local"):
+        raise ValueError(f"taper {taper!r} is neither 'linear-ends' nor 'local'")
+    w, whole = Window.partitionBy(*keys).orderBy("pos"), Window.partitionBy(*keys)
+    p = arcs.withColumns({"at": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(whole), "cosw": F.cos(F.radians(F.avg("y").over(whole)))})
+    p = p.where((F.col("n") >= 3) & (F.lit(2 * skip) < F.col("n") - 1)).withColumns({"px": F.col("x") * F.col("cosw") * metres, "py": F.col("y") * metres})
+    if taper == "linear-ends":
+        first, last = F.min_by("h", "at").over(whole) * factor, F.max_by("h", "at").over(whole) * factor
+        p = p.withColumn("offset", first + (last - first) * F.col("at") / (F.col("n") - 1))
+    else:
+        p = p.withColumn("offset", F.col("h") * factor)
+        for _ in range(max(0, passes)):
+            p = p.withColumn("offset", F.coalesce((F.lag("offset").over(w) + F.col("offset") + F.lead("offset").over(w)) / 3, F.col("offset")))
+    for c in ("x", "y"):
+        p = p.withColumn(f"t{c}", F.coalesce(F.lead(f"p{c}").over(w), F.col(f"p{c}")) - F.coalesce(F.lag(f"p{c}").over(w), F.col(f"p{c}")))
+    norm = F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty"))
+    x, y = (F.col("px") - F.col("ty") / norm * F.col("offset")) / (F.col("cosw") * metres), (F.col("py") + F.col("tx") / norm * F.col("offset")) / metres
+    return p.where((F.col("at") >= skip) & (F.col("at") < F.col("n") - skip)).select(*keys, "pos", "offset", x.alias("bx"), y.alias("by"))

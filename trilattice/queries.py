@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trilattice.functions import triangle as T
+from trilattice.functions import units as U
 from trilattice.model import LATTICE_SQL, Mesh, lattice
 from trilattice.operators import boundary as B
+from trilattice.operators import channels as C
 from trilattice.operators import detect as D
 from trilattice.operators import gate as G
+from trilattice.operators import references as N
 from trilattice.operators import repair as R
 from trilattice.operators import spatial as S
+from trilattice.operators import summary as Y
 from trilattice.operators import topology as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,9 +364,8 @@ top AS (""", 1)
 @query("""p AS (SELECT b.kind, seg_id, pos, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM boundary b JOIN nodes USING (node_id) WINDOW w AS (PARTITION BY b.kind, seg_id ORDER BY pos)),
 l AS (SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS len FROM p),
 s AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY kind, seg_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, CASE WHEN nx IS NULL THEN 1 ELSE greatest(2, ceil(len / 0.4) + 1) END::BIGINT AS n FROM l),
-t AS (SELECT *, unnest(range(greatest(n - 1, 1))) AS step FROM s)
-SELECT kind, seg_id, pos::INTEGER AS pos, step::INTEGER AS step, round(coalesce(x + CASE WHEN n > 1 THEN step / (n - 1) ELSE 0 END * (nx - x), x), 6) AS sx, round(coalesce(y + CASE WHEN n > 1 THEN step / (n - 1) ELSE 0 END * (ny - y), y), 6) AS sy,
-  round(start + coalesce(CASE WHEN n > 1 THEN step / (n - 1) ELSE 0 END * len, 0), 6) AS arc FROM t""")
+t AS (SELECT *, unnest(range(n)) AS step FROM s)
+SELECT kind, seg_id, pos::INTEGER AS pos, step::INTEGER AS step, round(coalesce(x + step / n * (nx - x), x), 6) AS sx, round(coalesce(y + step / n * (ny - y), y), 6) AS sy, round(start + coalesce(step / n * len, 0), 6) AS arc FROM t""")
 def polyline_samples(m):
     return B.polyline_samples(m, m.boundary, 0.4).select("kind", "seg_id", "pos", "step", r6("sx"), r6("sy"), r6("arc"))
 
@@ -525,3 +528,228 @@ SELECT name, arg_min(node_id, dist) AS node_id, round(min(dist), 3) AS dist FROM
 def haversine_snap(m):
     points = m.nodes.sparkSession.createDataFrame([("a", 10.2, 5.1), ("b", 33.3, 20.2), ("c", 49.9, 1.0)], "name string, lon double, lat double")
     return S.snap_to_nodes(points, m.nodes).select("name", "node_id", F.round("dist", 3).alias("dist"))
+
+
+# units and references
+
+
+@query("""SELECT node_id, round(1000 / 110574.0::DOUBLE, 9) AS lat_deg, round(1000 / (111320.0::DOUBLE * cos(radians(y / 4))), 9) AS lon_deg, round(1e6 / (6371000.0::DOUBLE * cos(radians(y / 4)) * pi() / 180), 6) AS deg_per_1000_km,
+round(111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * (y / 4)) + 1.175::DOUBLE * cos(4 * (y / 4)) - 0.0023::DOUBLE * cos(6 * (y / 4)), 6) AS series FROM nodes""")
+def degree_conversions(m):
+    lat = F.col("y") / 4
+    return m.nodes.select("node_id", F.round(U.latitude_degrees(F.lit(1000.0)), 9).alias("lat_deg"), F.round(U.longitude_degrees(F.lit(1000.0), lat), 9).alias("lon_deg"), r6(F.lit(1e6) * U.degrees_of_metre(lat), "deg_per_1000_km"), r6(U.metres_of_degree(lat), "series"))
+
+
+@query("SELECT node_id, round(x * cos(radians(12.5)) * 111e3, 3) AS bx, round(y * 111e3, 3) AS \"by\", round(x, 6) AS x, round(y, 6) AS y FROM nodes")
+def band_metric(m):
+    middle = F.lit(12.5)
+    bx, by = U.band_metres(F.col("x"), F.col("y"), middle)
+    x, y = U.band_degrees(bx, by, middle)
+    return m.nodes.select("node_id", F.round(bx, 3).alias("bx"), F.round(by, 3).alias("by"), r6(x, "x"), r6(y, "y"))
+
+
+@query("""p AS (SELECT node_id, x, y, trunc((x - 3.2) / 2.5)::INTEGER AS c, trunc((78.2 - y) / 2.5)::INTEGER AS r FROM nodes WHERE x > 3.2 AND y < 78.2), b AS (SELECT *, 3.2 + c * 2.5 AS x0, 78.2 - r * 2.5 AS y1 FROM p WHERE c BETWEEN 0 AND 19 AND r BETWEEN 0 AND 29),
+s AS (SELECT *, least(trunc((x - x0) / 2.5 * 5), 4) AS sc, least(trunc((y1 - y) / 2.5 * 5), 4) AS sr FROM b)
+SELECT node_id, round(x0 + sc * 0.5, 6) AS xmin, round(y1 - sr * 0.5 - 0.5, 6) AS ymin, round(x0 + sc * 0.5 + 0.5, 6) AS xmax, round(y1 - sr * 0.5, 6) AS ymax FROM s""")
+def reference_boxes(m):
+    lattice_ = (3.2, 3.2, 53.2, 78.2, 2.5)
+    ref = S.cell_reference(F.col("x"), F.col("y"), *lattice_, detail="part")
+    found = m.nodes.where((F.col("x") > 3.2) & (F.col("y") < 78.2)).select("node_id", N.reference_box(ref, *lattice_).alias("b")).where("b is not null")
+    return found.select("node_id", *(r6(f"b.{c}", c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
+@query("""p AS (SELECT node_id, floor((x - 1) / 1.5)::BIGINT AS i, floor((400 - y) / 1.5)::BIGINT AS j FROM nodes), k AS (SELECT * FROM p WHERE i BETWEEN 0 AND 31 AND j BETWEEN 0 AND 265)
+SELECT node_id, CASE WHEN i >= 26 THEN 'A' || chr((65 + i - 26)::INTEGER) ELSE chr((65 + i)::INTEGER) END || (j + 1) AS label, round(1 + least(i, 2) * 1.5::DOUBLE, 6) AS xmin, round(400 - (greatest(j, 3) + 1) * 1.5::DOUBLE, 6) AS ymin, round(1 + (greatest(i, 2) + 1) * 1.5::DOUBLE, 6) AS xmax, round(400 - least(j, 3) * 1.5::DOUBLE, 6) AS ymax FROM k""")
+def lattice_labels(m):
+    cells = N.LabelledCells(1.0, 400.0, 1.5, 32, 266)
+    found = m.nodes.select("node_id", cells.label(F.col("x"), F.col("y")).alias("label")).where("label is not null").withColumn("b", cells.region(F.concat("label", F.lit("-c4"))))
+    return found.select("node_id", "label", *(r6(f"b.{c}", c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
+# values of meshes and groups
+
+
+@query("SELECT CASE WHEN max(abs(x)) <= 360 AND max(abs(y)) <= 90 THEN 'lonlat' ELSE 'metric' END AS kind FROM nodes")
+def coordinate_kind(m):
+    return Y.coordinate_kind(m.nodes).drop("mesh_id")
+
+
+@query("SELECT round(min(x), 6) AS xmin, round(min(y), 6) AS ymin, round(max(x), 6) AS xmax, round(max(y), 6) AS ymax, true AS of_open FROM nodes JOIN open_nodes USING (node_id)")
+def bounding_box(m):
+    return Y.bounding_box(m).select(r6("xmin"), r6("ymin"), r6("xmax"), r6("ymax"), "of_open")
+
+
+@query("SELECT node_id, string_agg(elem_id::VARCHAR, ',' ORDER BY elem_id) AS elems FROM corner GROUP BY node_id")
+def incident_elements(m):
+    return Y.incident(m.elements).select("node_id", F.array_join(F.transform("elems", lambda e: e.cast("string")), ",").alias("elems"))
+
+
+@query("""g AS (SELECT node_id // 150 AS grp, x, y FROM nodes), s AS (SELECT grp, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM g GROUP BY grp),
+t AS (SELECT g.grp, (x - mx) * cos(atan2(2 * b, a - c) / 2) + (y - my) * sin(atan2(2 * b, a - c) / 2) AS p FROM g JOIN s USING (grp)) SELECT grp, round(coalesce(max(p) - min(p), 0), 6) AS extent FROM t GROUP BY grp""")
+def principal_extent(m):
+    return Y.long_axis(m.nodes.select(F.floor(F.col("node_id") / 150).alias("grp"), "x", "y"), ["grp"]).select("grp", r6("extent"))
+
+
+@query("""b AS (SELECT node_id, min(dev) AS dev FROM deviations GROUP BY node_id)
+SELECT count(*) AS n, round(min(dev), 6) AS least, round(quantile_cont(dev, 0.5), 6) AS p50, round(quantile_cont(dev, 0.95), 6) AS p95, round(max(dev), 6) AS most, round(avg(dev), 6) AS mean FROM b""")
+def perp_statistics(m):
+    return Y.perpendicularity(m).select("n", r6("least"), r6("p50"), r6("p95"), r6("most"), r6("mean"))
+
+
+@query("SELECT elem_id FROM geo WHERE alpha < 0.8 OR least(a0, a1, a2) < 35 OR greatest(a0, a1, a2) > 110")
+def quality_failures(m):
+    return P.geometry(m).where(Y.fails(0.8, 35.0, 110.0)).select("elem_id")
+
+
+@query("SELECT node_id AS target, coalesce(bool_or(g.alpha >= 0.8 AND least(a0, a1, a2) >= 35), false) AS passed FROM nodes LEFT JOIN geo g ON list_sort([n0, n1, n2]) = [node_id, node_id + 1, node_id + 51] GROUP BY node_id")
+def targets_pass(m):
+    targets = m.nodes.select("mesh_id", (F.col("node_id") + 51).alias("n0"), F.col("node_id").alias("n1"), (F.col("node_id") + 1).alias("n2"))
+    return Y.targets_pass(m, targets, 0.8, 35.0).select(F.col("n1").alias("target"), "passed")
+
+
+@query("""bad AS (SELECT elem_id FROM geo WHERE least(a0, a1, a2) < 38), bdual AS (SELECT a, b FROM dual WHERE a IN (FROM bad) AND b IN (FROM bad)),
+bc(elem_id, label) USING KEY (elem_id) AS (SELECT elem_id, elem_id FROM bad UNION SELECT d.b, min(c.label) FROM bc c JOIN bdual d ON d.a = c.elem_id JOIN recurring.bc o ON o.elem_id = d.b WHERE c.label < o.label GROUP BY d.b)
+SELECT label, u, v FROM half JOIN bc USING (elem_id) GROUP BY label, u, v HAVING count(*) = 1""")
+def patch_rims(m):
+    bad = m.elements.join(P.geometry(m).where("min_angle < 38").select("mesh_id", "elem_id"), ["mesh_id", "elem_id"], "left_semi")
+    return Y.patch_rims(bad, P.element_components(bad)).select("label", "u", "v")
+
+
+@query("""w AS (SELECT node_id, lag(node_id) OVER v AS p, lead(node_id) OVER v AS n FROM boundary WINDOW v AS (PARTITION BY kind, seg_id ORDER BY pos))
+SELECT node_id, CASE WHEN count(*) = 1 THEN max(p) END AS prev, CASE WHEN count(*) = 1 THEN max(n) END AS next, count(*) AS listed FROM w GROUP BY node_id""")
+def boundary_neighbours(m):
+    return Y.boundary_neighbours(m).drop("mesh_id")
+
+
+@query("""w AS (SELECT kind, seg_id, pos, node_id, lead(node_id) OVER (PARTITION BY kind, seg_id ORDER BY pos) AS n FROM boundary)
+SELECT least(node_id, n) AS u, greatest(node_id, n) AS v, kind, seg_id::INTEGER AS seg_id, pos::INTEGER AS pos FROM w WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY least(node_id, n), greatest(node_id, n) ORDER BY kind, seg_id DESC, pos DESC) = 1""")
+def boundary_edge_places(m):
+    return Y.boundary_edge_places(m).select("u", "v", "kind", "seg_id", "pos")
+
+
+# lines beside and along boundaries
+
+
+_BAND_SQL = """a AS (SELECT seg_id, pos, x, y, depth * 1000 AS h FROM opened JOIN nodes USING (node_id)),
+b AS (SELECT *, row_number() OVER v - 1 AS k, count(*) OVER (PARTITION BY seg_id) AS n, cos(radians(avg(y) OVER (PARTITION BY seg_id))) AS cw, arg_min(h, pos) OVER (PARTITION BY seg_id) AS h0, arg_max(h, pos) OVER (PARTITION BY seg_id) AS h1 FROM a WINDOW v AS (PARTITION BY seg_id ORDER BY pos)),
+c AS (SELECT *, x * cw * 111e3 AS px, y * 111e3 AS py, {offset} AS off0 FROM b), {more}
+t AS (SELECT *, coalesce(lead(px) OVER v, px) - coalesce(lag(px) OVER v, px) AS tx, coalesce(lead(py) OVER v, py) - coalesce(lag(py) OVER v, py) AS ty FROM {last} WINDOW v AS (PARTITION BY seg_id ORDER BY pos))
+SELECT seg_id, pos::INTEGER AS pos, round({off}, 3) AS "offset", round((px - ty / sqrt(tx * tx + ty * ty) * {off}) / (cw * 111e3), 6) AS bx, round((py + tx / sqrt(tx * tx + ty * ty) * {off}) / 111e3, 6) AS "by" FROM t WHERE k >= 1 AND k < n - 1"""
+
+
+def _band(m, taper):
+    arcs = B.placed(m, m.open).select("mesh_id", "seg_id", "pos", "x", "y", (F.col("depth") * 1000).alias("h"))
+    return B.band(arcs, ["mesh_id", "seg_id"], taper=taper).select("seg_id", "pos", F.round("offset", 3).alias("offset"), r6("bx"), r6("by"))
+
+
+@query(_BAND_SQL.format(offset="1.25 * h0 + (1.25 * h1 - 1.25 * h0) * k / (n - 1)", more="", last="c", off="off0"))
+def band_offsets(m):
+    return _band(m, "linear-ends")
+
+
+_AVERAGE = "coalesce((lag({0}) OVER (PARTITION BY seg_id ORDER BY pos) + {0} + lead({0}) OVER (PARTITION BY seg_id ORDER BY pos)) / 3, {0})"
+
+
+@query(_BAND_SQL.format(offset="1.25 * h", more=f"d AS (SELECT *, {_AVERAGE.format('off0')} AS off1 FROM c), e AS (SELECT *, {_AVERAGE.format('off1')} AS off2 FROM d),", last="e", off="off2"))
+def band_offsets_local(m):
+    return _band(m, "local")
+
+
+@query("""k AS (SELECT 180 / (6371000 * pi()) AS la, 180 / (6371000 * pi()) / cos(radians(20)) AS lo),
+p AS (SELECT b.kind, seg_id, pos, x, y, depth, lead(x) OVER v AS nx, lead(y) OVER v AS ny, lead(depth) OVER v AS nd, la, lo FROM boundary b JOIN nodes USING (node_id), k WINDOW v AS (PARTITION BY b.kind, seg_id ORDER BY pos)),
+q AS (SELECT *, sqrt((nx / lo - x / lo) * (nx / lo - x / lo) + (ny / la - y / la) * (ny / la - y / la)) AS ln FROM p),
+l AS (SELECT *, coalesce(sum(ln) OVER (PARTITION BY kind, seg_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(ln) OVER (PARTITION BY kind, seg_id) AS total FROM q),
+n AS (SELECT kind, seg_id, max(total) AS total, (floor((max(total) - 180000) / 90000) + 1)::BIGINT AS n FROM l GROUP BY kind, seg_id HAVING max(total) > 180000),
+s AS (SELECT kind, seg_id, k, 90000 + k * CASE WHEN n > 1 THEN (total - 180000) / (n - 1) ELSE 0 END AS s FROM (SELECT *, unnest(range(n)) AS k FROM n))
+SELECT s.kind, s.seg_id, k, round(x + (s - start) / greatest(ln, 1e-12) * (nx - x), 5) AS x, round(y + (s - start) / greatest(ln, 1e-12) * (ny - y), 5) AS y, round(depth + (s - start) / greatest(ln, 1e-12) * (nd - depth), 4) AS depth FROM s ASOF JOIN (SELECT * FROM l WHERE nx IS NOT NULL) l ON s.kind = l.kind AND s.seg_id = l.seg_id AND s.s >= l.start""")
+def spine_samples(m):
+    lines = B.placed(m, m.boundary).select("kind", "seg_id", "pos", "x", "y", "depth")
+    return B.line_samples(lines, ["kind", "seg_id"], 90_000.0, 20.0).select("kind", "seg_id", "k", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("depth", 4).alias("depth"))
+
+
+# narrow water
+
+
+def banks(m: Mesh) -> Mesh:
+    """The lattice with lines that run east along every sixth row and back two rows farther north, besides its open row."""
+    row, column = F.floor(F.col("node_id") / 50), F.col("node_id") % 50
+    there = (F.col("node_id") >= 300) & (row % 6).isin(0, 2)
+    pos = F.when(row % 6 == 0, column).otherwise(99 - column)
+    line = m.nodes.where(there).select("mesh_id", F.lit("land").alias("kind"), F.floor(row / 6).cast("int").alias("seg_id"), F.lit(0).alias("ibtype"), pos.cast("int").alias("pos"), "node_id")
+    return m.with_(boundary=m.open.unionByName(line))
+
+
+_WIDTH_SQL = """lines AS (SELECT 'open' AS kind, seg_id, pos, node_id FROM opened UNION ALL SELECT 'land', (node_id // 50) // 6, CASE WHEN (node_id // 50) % 6 = 0 THEN node_id % 50 ELSE 99 - node_id % 50 END, node_id FROM nodes WHERE node_id >= 300 AND (node_id // 50) % 6 IN (0, 2)),
+lp AS (SELECT kind, seg_id, pos, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM lines JOIN nodes USING (node_id) WINDOW w AS (PARTITION BY kind, seg_id ORDER BY pos)), ll AS (SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS ln FROM lp),
+la AS (SELECT *, coalesce(sum(ln) OVER (PARTITION BY kind, seg_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, CASE WHEN nx IS NULL THEN 1 ELSE greatest(2, ceil(ln / 0.5) + 1) END::BIGINT AS n FROM ll), lt AS (SELECT *, unnest(range(n)) AS step FROM la),
+smp AS (SELECT kind, seg_id, coalesce(x + step / n * (nx - x), x) AS sx, coalesce(y + step / n * (ny - y), y) AS sy, start + coalesce(step / n * ln, 0) AS arc FROM lt),
+cen AS (SELECT elem_id, (x0 + x1 + x2) / 3 AS cx, (y0 + y1 + y2) / 3 AS cy, greatest(least(l01, l12), least(greatest(l01, l12), l20)) AS h FROM len),
+seen AS (SELECT *, sqrt((sx - cx) * (sx - cx) + (sy - cy) * (sy - cy)) AS dist FROM cen JOIN smp ON sx BETWEEN cx - 3 * h AND cx + 3 * h AND sy BETWEEN cy - 3 * h AND cy + 3 * h), ord AS (SELECT *, row_number() OVER (PARTITION BY elem_id, kind, seg_id ORDER BY dist, arc) AS r FROM seen WHERE dist <= 3 * h),
+one AS (SELECT * FROM ord WHERE r = 1), two AS (SELECT o.* FROM ord o JOIN one USING (elem_id, kind, seg_id) WHERE o.r BETWEEN 2 AND 50 AND abs(o.arc - one.arc) >= 4 * one.dist QUALIFY row_number() OVER (PARTITION BY o.elem_id, o.kind, o.seg_id ORDER BY o.r) = 1),
+per AS (SELECT one.elem_id, one.kind, one.seg_id, one.h, one.dist AS near, CASE WHEN ((one.sx - one.cx) * (two.sx - one.cx) + (one.sy - one.cy) * (two.sy - one.cy)) / greatest(one.dist * two.dist, 1e-9) < -0.8 THEN one.dist + two.dist END AS same FROM one LEFT JOIN two USING (elem_id, kind, seg_id)),
+rnk AS (SELECT *, row_number() OVER (PARTITION BY elem_id ORDER BY near, kind, seg_id) AS r FROM per),
+wid AS (SELECT elem_id, h, least(CASE WHEN count(*) FILTER (r <= 2) = 2 THEN sum(near) FILTER (r <= 2) END, min(same)) AS width FROM rnk GROUP BY elem_id, h),
+flagged AS (SELECT elem_id, h, width, width / h AS ratio FROM wid WHERE width / h < 3)"""
+_PART_SQL = "{0}dual AS (SELECT a, b FROM dual WHERE a IN (FROM {1}) AND b IN (FROM {1})), {0}(elem_id, label) USING KEY (elem_id) AS (SELECT elem_id, elem_id FROM {1} UNION SELECT d.b, min(c.label) FROM {0} c JOIN {0}dual d ON d.a = c.elem_id JOIN recurring.{0} o ON o.elem_id = d.b WHERE c.label < o.label GROUP BY d.b)"
+
+
+@query(f"{_WIDTH_SQL} SELECT elem_id, round(h, 6) AS h, round(width, 6) AS width, round(ratio, 6) AS ratio FROM flagged")
+def under_resolved(m):
+    return C.under_resolved(banks(m), 0.5).select("elem_id", r6("h"), r6("width"), r6("ratio"))
+
+
+@query(f"{_WIDTH_SQL}, hits AS (SELECT elem_id FROM flagged), {_PART_SQL.format('fc', 'hits')} SELECT elem_id FROM fc WHERE label IN (SELECT label FROM fc GROUP BY label HAVING count(*) >= 4)")
+def under_resolved_groups(m):
+    return C.under_resolved(banks(m), 0.5, least_elements=4).select("elem_id")
+
+
+@query(f"""{_WIDTH_SQL}, at_open AS (SELECT DISTINCT elem_id FROM corner WHERE node_id IN (FROM open_nodes)), hits AS (SELECT elem_id FROM flagged WHERE elem_id NOT IN (FROM at_open)), rest AS (SELECT elem_id FROM elements WHERE elem_id NOT IN (FROM hits)), {_PART_SQL.format('fc', 'hits')}, {_PART_SQL.format('bc', 'rest')},
+body AS (SELECT label, count(*) AS size, count(o.elem_id) AS n_open FROM bc LEFT JOIN at_open o USING (elem_id) GROUP BY label), main AS (SELECT label FROM body WHERE n_open > 0 ORDER BY n_open DESC, label LIMIT 1),
+touch AS (SELECT DISTINCT f.label AS cluster, b.label, size, b.label IN (FROM main) AS main FROM dual d JOIN fc f ON f.elem_id = d.a JOIN bc b ON b.elem_id = d.b JOIN body ON body.label = b.label),
+beside AS (SELECT cluster, bool_or(main) AS at_main, bool_or(NOT main) AS at_other, bool_or(NOT main AND size >= 6) AS at_large FROM touch GROUP BY cluster),
+decided AS (SELECT f.label AS cluster, CASE WHEN count(*) <= 1 THEN 'delete' WHEN coalesce(any_value(at_main AND NOT at_other OR at_large), false) THEN 'widen' ELSE 'delete' END AS action FROM fc f LEFT JOIN beside ON cluster = f.label GROUP BY f.label),
+lost AS (SELECT label, min(cluster) AS cluster FROM touch JOIN decided USING (cluster) WHERE NOT main AND size < 6 AND action = 'delete' GROUP BY label)
+SELECT elem_id, cluster, 'throat' AS part, action FROM fc JOIN decided ON cluster = label UNION ALL SELECT elem_id, cluster, 'basin', 'delete' FROM bc JOIN lost USING (label)""")
+def throats(m):
+    b = banks(m)
+    return C.throats(b, C.under_resolved(b, 0.5), small=1).drop("mesh_id")
+
+
+@query("""bank AS (SELECT node_id FROM rim_nodes WHERE node_id NOT IN (FROM open_nodes)) SELECT elem_id FROM elements e WHERE n0 IN (FROM bank) AND n1 IN (FROM bank) AND n2 IN (FROM bank) AND (SELECT count(*) FROM half h JOIN rim USING (u, v) WHERE h.elem_id = e.elem_id) <= 1""")
+def bank_to_bank(m):
+    return C.bank_to_bank(m).select("elem_id")
+
+
+@query(f"""steps AS (SELECT least(node_id, nxt) AS u, greatest(node_id, nxt) AS v FROM (SELECT node_id, lead(node_id) OVER (PARTITION BY seg_id ORDER BY pos) AS nxt FROM opened) WHERE nxt IS NOT NULL AND nxt <> node_id), stops AS (SELECT a FROM dual GROUP BY a HAVING count(*) = 1 AND NOT EXISTS (SELECT 1 FROM half h JOIN steps s ON s.u = h.u AND s.v = h.v WHERE h.elem_id = a)),
+open_rows AS (SELECT node_id FROM boundary WHERE kind = 'open'), shore AS (SELECT node_id FROM rim_nodes UNION SELECT node_id FROM open_rows), slim AS (SELECT elem_id FROM elements WHERE n0 IN (FROM shore) AND n1 IN (FROM shore) AND n2 IN (FROM shore)), {_PART_SQL.format('sc', 'slim')},
+wet AS (SELECT label FROM cc JOIN corner USING (elem_id) WHERE node_id IN (FROM open_nodes))
+SELECT elem_id, label <> (SELECT label FROM sizes ORDER BY size DESC, label LIMIT 1) AS disjoint, elem_id IN (FROM stops) AS dead_end, elem_id IN (FROM slim) AS thin, elem_id IN (SELECT elem_id FROM sc WHERE label IN (SELECT label FROM sc GROUP BY label HAVING count(*) >= 3)) AS thin_chain, label NOT IN (FROM wet) AS unreachable, false AS under_resolved FROM cc""")
+def element_flags(m):
+    rim = P.edge_nodes(P.rim_edges(m.elements)).select("mesh_id", F.lit("land").alias("kind"), F.lit(0).alias("seg_id"), F.lit(0).alias("ibtype"), F.lit(0).alias("pos"), "node_id")
+    return Y.element_flags(m.with_(boundary=m.open.unionByName(rim))).drop("mesh_id")
+
+
+# edge splits
+
+
+_SPLIT_SQL = """own AS (SELECT elem_id, least(n0, n1) AS u, greatest(n0, n1) AS v, l01 AS ln FROM len UNION ALL SELECT elem_id, least(n1, n2), greatest(n1, n2), l12 FROM len UNION ALL SELECT elem_id, least(n2, n0), greatest(n2, n0), l20 FROM len),
+mine AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY elem_id ORDER BY ln DESC, u DESC, v DESC) = 1), votes AS (SELECT u, v, count(*) AS votes FROM mine WHERE ln > 1.4 GROUP BY u, v),
+cut AS (SELECT u, v, (SELECT max(node_id) FROM nodes) + row_number() OVER (ORDER BY u, v) AS m FROM votes JOIN edges USING (u, v) WHERE votes = uses)"""
+
+
+@query(f"""{_SPLIT_SQL}, hit AS (SELECT e.*, m, CASE WHEN least(n0, n1) = c.u AND greatest(n0, n1) = c.v THEN 0 WHEN least(n1, n2) = c.u AND greatest(n1, n2) = c.v THEN 1 ELSE 2 END AS slot, (SELECT max(elem_id) FROM elements) + row_number() OVER (ORDER BY e.elem_id) AS other FROM elements e JOIN half h USING (elem_id) JOIN cut c ON c.u = h.u AND c.v = h.v),
+turned AS (SELECT elem_id, other, m, CASE slot WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END AS a, CASE slot WHEN 0 THEN n1 WHEN 1 THEN n2 ELSE n0 END AS b, CASE slot WHEN 0 THEN n2 WHEN 1 THEN n0 ELSE n1 END AS c FROM hit)
+SELECT elem_id, n0, n1, n2 FROM elements WHERE elem_id NOT IN (SELECT elem_id FROM hit) UNION ALL SELECT elem_id, m, b, c FROM turned UNION ALL SELECT other, m, c, a FROM turned""")
+def edge_split(m):
+    return R.split_edges(m, R.mutual_longest(m, 1.4)).elements.drop("mesh_id")
+
+
+@query(f"{_SPLIT_SQL} SELECT node_id, round(x, 6) AS x, round(y, 6) AS y, round(depth, 6) AS depth FROM nodes UNION ALL SELECT m, round((p.x + q.x) / 2, 6), round((p.y + q.y) / 2, 6), round((p.depth + q.depth) / 2, 6) FROM cut JOIN nodes p ON p.node_id = u JOIN nodes q ON q.node_id = v")
+def edge_split_nodes(m):
+    return R.split_edges(m, R.mutual_longest(m, 1.4)).nodes.select("node_id", r6("x"), r6("y"), r6("depth"))
+
+
+@query(f"""{_SPLIT_SQL}, w AS (SELECT kind, seg_id, pos, node_id, lead(node_id) OVER (PARTITION BY kind, seg_id ORDER BY pos) AS n FROM boundary), r AS (SELECT kind, seg_id, pos, 0 AS i, node_id FROM w UNION ALL SELECT kind, seg_id, pos, 1, m FROM w JOIN cut ON u = least(node_id, n) AND v = greatest(node_id, n) WHERE n IS NOT NULL)
+SELECT kind, seg_id::INTEGER AS seg_id, (row_number() OVER (PARTITION BY kind, seg_id ORDER BY pos, i) - 1)::INTEGER AS pos, node_id FROM r""")
+def edge_split_boundary(m):
+    return R.split_edges(m, R.mutual_longest(m, 1.4)).boundary.select("kind", "seg_id", "pos", "node_id")
