@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +14,16 @@ LON, LAT = ("lon", "longitude", "x"), ("lat", "latitude", "y")
 
 
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, lon, lat) of a CSV file with a header, in the order of its rows; other columns are not read."""
+    """(seq, lon, lat) of a CSV file with a header, in the order of its rows; fields may be quoted, but hold no line break."""
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
     head = lines.where("line = 0").first()
-    names = [c.strip().lower() for c in head.value.split(",")] if head else []
+    names = [c.strip().lower() for c in next(csv.reader([head.value]))] if head else []
     lon, lat = (next((i for i, c in enumerate(names) if c in keys), None) for keys in (LON, LAT))
     if lon is None or lat is None:
         raise ValueError(f"{path}: no pair of lon and lat columns among {names}")
-    f = F.split("value", ",")
-    return lines.where("line > 0").select((F.col("line") - 1).alias("seq"), F.trim(f[lon]).cast("double").alias("lon"), F.trim(f[lat]).cast("double").alias("lat"))
+    fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))))
+    rows = lines.where("line > 0").select((F.col("line") - 1).alias("seq"), fields.alias("f"))
+    return rows.select("seq", F.trim(f"f.c{lon}").cast("double").alias("lon"), F.trim(f"f.c{lat}").cast("double").alias("lat"))
 
 
 def read_lines_geojson(spark: SparkSession, path: str) -> DataFrame:
