@@ -35,14 +35,19 @@ def located(mesh: Mesh, elements: DataFrame | None = None) -> DataFrame:
     return joined.groupBy(MESH, "elem_id").agg(*columns)
 
 
-def geometry(mesh: Mesh, elements: DataFrame | None = None) -> DataFrame:
-    """located() with area (signed), l01, l12, l20, alpha, the corner angles a0..a2, min_angle and max_angle in degrees."""
-    g = located(mesh, elements).withColumns({"area": T.signed_area(), "l01": T.distance(T.corner(0), T.corner(1)), "l12": T.distance(T.corner(1), T.corner(2)), "l20": T.distance(T.corner(2), T.corner(0))})
+def measured(g: DataFrame) -> DataFrame:
+    """Triangles x0..y2 with area (signed), l01, l12, l20, alpha, the corner angles a0..a2, min_angle and max_angle in degrees."""
+    g = g.withColumns({"area": T.signed_area(), "l01": T.distance(T.corner(0), T.corner(1)), "l12": T.distance(T.corner(1), T.corner(2)), "l20": T.distance(T.corner(2), T.corner(0))})
     a, b, c = F.col("l01"), F.col("l12"), F.col("l20")
     g = g.withColumns({"alpha": T.alpha(F.col("area"), a, b, c), "a0": T.angle(b, c, a), "a1": T.angle(c, a, b), "a2": T.angle(a, b, c)})
     return g.withColumns({"min_angle": F.least("a0", "a1", "a2"), "max_angle": F.greatest("a0", "a1", "a2")})
 
 
+def geometry(mesh: Mesh, elements: DataFrame | None = None) -> DataFrame:
+    """located(), measured."""
+    return measured(located(mesh, elements))
+
+
 def half_edges(elements: DataFrame) -> DataFrame:
     """(mesh_id, elem_id, u, v), three per element, u < v but for degenerate edges."""
     pair = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trilattice.functions import triangle as T
@@ -14,6 +14,7 @@ from trilattice.operators import boundary as B
 from trilattice.operators import channels as C
 from trilattice.operators import detect as D
 from trilattice.operators import gate as G
+from trilattice.operators import local as E
 from trilattice.operators import references as N
 from trilattice.operators import repair as R
 from trilattice.operators import spatial as S
@@ -753,3 +754,121 @@ def edge_split_nodes(m):
 SELECT kind, seg_id::INTEGER AS seg_id, (row_number() OVER (PARTITION BY kind, seg_id ORDER BY pos, i) - 1)::INTEGER AS pos, node_id FROM r""")
 def edge_split_boundary(m):
     return R.split_edges(m, R.mutual_longest(m, 1.4)).boundary.select("kind", "seg_id", "pos", "node_id")
+
+
+# local edits
+
+
+_SHAPE_SQL = """{1}l AS (SELECT *, ((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) / 2 AS area, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS l01, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l12, sqrt((x0 - x2) * (x0 - x2) + (y0 - y2) * (y0 - y2)) AS l20 FROM {0}),
+{1}c AS (SELECT *, CASE WHEN l20 * l01 > 0 THEN (l20 * l20 + l01 * l01 - l12 * l12) / (2 * l20 * l01) ELSE 1 END AS c0, CASE WHEN l01 * l12 > 0 THEN (l01 * l01 + l12 * l12 - l20 * l20) / (2 * l01 * l12) ELSE 1 END AS c1, CASE WHEN l12 * l20 > 0 THEN (l12 * l12 + l20 * l20 - l01 * l01) / (2 * l12 * l20) ELSE 1 END AS c2 FROM {1}l),
+{1}a AS (SELECT *, degrees(acos(greatest(-1, least(1, c0)))) AS a0, degrees(acos(greatest(-1, least(1, c1)))) AS a1, degrees(acos(greatest(-1, least(1, c2)))) AS a2, 4 * sqrt(3.0::DOUBLE) * abs(area) / (l01 * l01 + l12 * l12 + l20 * l20) AS alpha FROM {1}c),
+{1} AS (SELECT *, pow(greatest(0, 0.7 - alpha), 2) + pow(greatest(0, 30 - least(a0, a1, a2)), 2) / 100 + pow(greatest(0, greatest(a0, a1, a2) - 130), 2) / 100 AS pen, least(a0, a1, a2) AS low, (least(a0, a1, a2) < 30)::INT + (greatest(a0, a1, a2) > 130)::INT + (area <= 0)::INT AS misses FROM {1}a)"""
+
+
+@query(f"""hits AS (SELECT elem_id FROM geo WHERE alpha < 0.75), {_PART_SQL.format('qc', 'hits')}
+SELECT elem_id, cluster, size, place FROM (SELECT label AS cluster, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS place FROM qc GROUP BY label HAVING count(*) BETWEEN 2 AND 50) JOIN qc ON label = cluster""")
+def failure_clusters(m):
+    return E.failure_clusters(m, 2, 50, P.geometry(m).where("alpha < 0.75")).drop("mesh_id")
+
+
+@query("""pn AS (SELECT node_id FROM (SELECT u AS node_id FROM rim UNION ALL SELECT v FROM rim) GROUP BY node_id HAVING count(*) > 2), pe AS (SELECT u AS node_id, first_elem, last_elem FROM inner_edges UNION ALL SELECT v, first_elem, last_elem FROM inner_edges),
+pl AS (SELECT node_id, first_elem AS a, last_elem AS b FROM pe WHERE node_id IN (FROM pn) UNION ALL SELECT node_id, last_elem, first_elem FROM pe WHERE node_id IN (FROM pn)),
+pf(node_id, elem_id, label) USING KEY (node_id, elem_id) AS (SELECT node_id, elem_id, elem_id FROM corner WHERE node_id IN (FROM pn) UNION SELECT l.node_id, l.b, min(f.label) FROM pf f JOIN pl l ON l.node_id = f.node_id AND l.a = f.elem_id JOIN recurring.pf o ON o.node_id = l.node_id AND o.elem_id = l.b WHERE f.label < o.label GROUP BY l.node_id, l.b),
+ps AS (SELECT node_id, label, count(*) AS size, row_number() OVER (PARTITION BY node_id ORDER BY count(*) DESC, label) = 1 AS kept FROM pf GROUP BY node_id, label)
+SELECT node_id, elem_id, label AS fan, size, kept FROM pf JOIN ps USING (node_id, label)""")
+def pinch_fans(m):
+    return E.pinch_fans(m).drop("mesh_id")
+
+
+@query()
+def repaired_pinches(m):
+    return E.repair_pinches(m)[0].elements.drop("mesh_id")
+
+
+@query("""safe AS (SELECT DISTINCT elem_id FROM corner WHERE node_id IN (FROM open_nodes)), gone(elem_id, one) USING KEY (elem_id) AS (SELECT elem_id, 1 FROM elements e WHERE elem_id NOT IN (FROM safe) AND (SELECT count(*) FROM dual WHERE a = e.elem_id) <= 1
+UNION SELECT c.a, 1 FROM (SELECT DISTINCT d.a FROM gone g JOIN dual d ON d.b = g.elem_id) c JOIN dual t ON t.a = c.a LEFT JOIN recurring.gone r ON r.elem_id = t.b LEFT JOIN recurring.gone s ON s.elem_id = c.a WHERE s.elem_id IS NULL AND c.a NOT IN (FROM safe) GROUP BY c.a HAVING count(*) - count(r.elem_id) <= 1)
+SELECT elem_id, n0, n1, n2 FROM elements WHERE elem_id NOT IN (SELECT elem_id FROM gone)""")
+def pruned_one_wide(m):
+    return E.prune_one_wide(m).elements.drop("mesh_id")
+
+
+def _ring(m):
+    """The lattice's outline as one ring: the open row, then the land lists, a node at its first place; flagged near its west or south end."""
+    part = F.when(F.col("kind") == "open", -1).otherwise(F.col("seg_id"))
+    first = m.boundary.groupBy("mesh_id", "node_id").agg(F.min(F.struct(part.alias("part"), "pos")).alias("at"))
+    low = m.nodes.groupBy("mesh_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    at = first.join(m.nodes, ["mesh_id", "node_id"]).join(low, "mesh_id")
+    flag = (F.col("x") <= F.col("x0") + 0.38) | (F.col("y") <= F.col("y0") + 0.38)
+    return at.select("mesh_id", (F.col("at.part") * 100_000_000 + F.col("at.pos")).alias("pos"), "node_id", flag.alias("flag"))
+
+
+_RUN_SQL = """outline AS (SELECT node_id, min(CASE WHEN kind = 'open' THEN -1 ELSE seg_id END * 100000000::BIGINT + pos) AS pos FROM boundary GROUP BY node_id),
+ring AS (SELECT node_id, row_number() OVER (ORDER BY pos) - 1 AS spot, count(*) OVER () AS size, x <= (SELECT min(x) FROM nodes) + 0.38 OR y <= (SELECT min(y) FROM nodes) + 0.38 AS flag FROM outline JOIN nodes USING (node_id)),
+twice AS (SELECT node_id, spot, size, flag FROM ring UNION ALL SELECT node_id, spot - size, size, flag FROM ring), isl AS (SELECT *, spot - sum(flag::INT) OVER (ORDER BY spot) AS run FROM twice),
+runs AS (SELECT run, min(spot) AS a, max(spot) AS b, count(*) AS n FROM isl WHERE flag GROUP BY run, size HAVING max(spot) >= 0 AND max(spot) < size - 1 OR min(spot) >= 0 AND NOT (SELECT bool_or(flag) FROM ring WHERE spot = 0)),
+best AS (SELECT run, a FROM runs ORDER BY n DESC, a < 0, a LIMIT 1)"""
+
+
+@query(f"{_RUN_SQL} SELECT (spot - a)::INTEGER AS pos, node_id FROM isl JOIN best USING (run) WHERE flag")
+def open_run(m):
+    return E.longest_run(_ring(m)).drop("mesh_id")
+
+
+@query("""walk AS (SELECT node_id, x, y, row_number() OVER (ORDER BY kind, pos) - 1 AS pos FROM boundary JOIN nodes USING (node_id) WHERE kind = 'open' OR seg_id = 2 AND node_id > 0), tips AS (SELECT arg_min(x, pos) AS ax, arg_min(y, pos) AS ay, arg_max(x, pos) AS bx, arg_max(y, pos) AS "by", max(pos) AS last FROM walk),
+far AS (SELECT pos, last, abs((x - ax) * ("by" - ay) - (y - ay) * (bx - ax)) / sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) AS far FROM walk, tips), crn AS (SELECT pos AS corner FROM far ORDER BY far DESC, pos LIMIT 1)
+SELECT 0 AS part, pos::INTEGER AS pos, node_id FROM walk, crn WHERE pos <= corner UNION ALL SELECT 1, (pos - corner)::INTEGER, node_id FROM walk, crn WHERE pos >= corner""")
+def corner_parts(m):
+    run = m.boundary.where("kind = 'open' or seg_id = 2 and node_id > 0")
+    run = run.select("mesh_id", (F.row_number().over(Window.partitionBy("mesh_id").orderBy("kind", "pos")) - 1).cast("int").alias("pos"), "node_id")
+    return E.corner_split(m, run, 1.0).drop("mesh_id")
+
+
+@query(f"""held AS (SELECT node_id FROM rim_nodes UNION SELECT node_id FROM listed), aim AS (SELECT b.node_id, avg(x) AS nx, avg(y) AS ny FROM both_ways b JOIN nodes p ON p.node_id = b.other WHERE b.node_id NOT IN (FROM held) GROUP BY b.node_id),
+tried AS (SELECT a.node_id, t.elem_id, CASE WHEN n0 = a.node_id THEN nx ELSE x0 END AS x0, CASE WHEN n0 = a.node_id THEN ny ELSE y0 END AS y0, CASE WHEN n1 = a.node_id THEN nx ELSE x1 END AS x1, CASE WHEN n1 = a.node_id THEN ny ELSE y1 END AS y1, CASE WHEN n2 = a.node_id THEN nx ELSE x2 END AS x2, CASE WHEN n2 = a.node_id THEN ny ELSE y2 END AS y2 FROM aim a JOIN corner c USING (node_id) JOIN tri t ON t.elem_id = c.elem_id),
+{_SHAPE_SQL.format('tri', 'was')}, {_SHAPE_SQL.format('tried', 'becomes')}
+SELECT node_id, round(any_value(a.nx), 6) AS nx, round(any_value(a.ny), 6) AS ny, round(sum(w.pen), 6) AS before, round(sum(b.pen), 6) AS after FROM becomes b JOIN aim a USING (node_id) JOIN was w ON w.elem_id = b.elem_id GROUP BY node_id HAVING sum(b.pen) + 1e-12 < sum(w.pen) AND min(b.area) > 0""")
+def smooth_candidates(m):
+    return E.smooth_candidates(m).select("node_id", r6("nx"), r6("ny"), r6("before"), r6("after"))
+
+
+@query()
+def gated_smooth(m):
+    return E.gated_smooth(m, 2)[0].nodes.select("node_id", r6("x"), r6("y"))
+
+
+def _shores(m):
+    """Lines beside the lattice's west and east columns, and along every tenth row, with a point for each third row or column."""
+    row, column = F.floor(F.col("node_id") / 50), F.col("node_id") % 50
+    sides = m.nodes.where(column.isin(0, 49) & (row % 3 == 0)).select("mesh_id", column.alias("line"), row.alias("pos"), (F.col("x") - 0.1).alias("x"), "y")
+    rows = m.nodes.where((row % 10 == 5) & (column % 3 == 0)).select("mesh_id", (row + 100).alias("line"), column.alias("pos"), "x", (F.col("y") + 0.15).alias("y"))
+    return sides.unionByName(rows)
+
+
+@query("""shore AS (SELECT node_id % 50 AS line, node_id // 50 AS pos, x - 0.1::DOUBLE AS x, y FROM nodes WHERE node_id % 50 IN (0, 49) AND (node_id // 50) % 3 = 0 UNION ALL SELECT node_id // 50 + 100, node_id % 50, x, y + 0.15::DOUBLE FROM nodes WHERE (node_id // 50) % 10 = 5 AND (node_id % 50) % 3 = 0),
+stretch AS (SELECT line, pos, x AS ax, y AS ay, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM shore WINDOW w AS (PARTITION BY line ORDER BY pos)), long AS (SELECT u, v, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS ln FROM rim JOIN nodes p ON p.node_id = u JOIN nodes q ON q.node_id = v),
+reach AS (SELECT node_id, x, y, avg(ln) * 0.5 AS reach FROM (SELECT u AS node_id, ln FROM long UNION ALL SELECT v, ln FROM long) JOIN nodes USING (node_id) GROUP BY node_id, x, y),
+foot AS (SELECT *, greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) AS t FROM reach JOIN stretch ON x >= least(ax, ax + dx) - reach AND x <= greatest(ax, ax + dx) + reach AND y >= least(ay, ay + dy) - reach AND y <= greatest(ay, ay + dy) + reach),
+near AS (SELECT *, ax + t * dx AS nx, ay + t * dy AS ny, sqrt((ax + t * dx - x) * (ax + t * dx - x) + (ay + t * dy - y) * (ay + t * dy - y)) AS dist FROM foot)
+SELECT node_id, round(nx, 6) AS nx, round(ny, 6) AS ny, round(dist, 6) AS dist FROM near WHERE dist <= reach QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY dist, line, pos) = 1 AND dist > 1e-9""")
+def snap_targets(m):
+    return E.snap_targets(m, _shores(m)).select("node_id", r6("nx"), r6("ny"), r6("dist"))
+
+
+@query()
+def snapped_rim(m):
+    return E.snap_to_lines(m, _shores(m), gate=True)[1].drop("mesh_id")
+
+
+@query(f"""pair AS (SELECT u, v, p.x AS ux, p.y AS uy, q.x AS vx, q.y AS vy, u IN (FROM rim_nodes) AS ur, v IN (FROM rim_nodes) AS vr, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS ln FROM edges JOIN nodes p ON p.node_id = u JOIN nodes q ON q.node_id = v),
+small AS (SELECT u, v, CASE WHEN vr AND NOT ur THEN v ELSE u END AS keep, CASE WHEN ur = vr THEN (ux + vx) / 2 WHEN vr THEN vx ELSE ux END AS nx, CASE WHEN ur = vr THEN (uy + vy) / 2 WHEN vr THEN vy ELSE uy END AS ny FROM pair WHERE ln < 0.9),
+about AS (SELECT DISTINCT s.*, c.elem_id FROM (SELECT u AS node_id, * FROM small UNION ALL SELECT v, * FROM small) s JOIN corner c USING (node_id)),
+tried AS (SELECT u, v, keep, elem_id, (n0 IN (u, v))::INT + (n1 IN (u, v))::INT + (n2 IN (u, v))::INT AS hit, CASE WHEN n0 IN (u, v) THEN nx ELSE x0 END AS x0, CASE WHEN n0 IN (u, v) THEN ny ELSE y0 END AS y0, CASE WHEN n1 IN (u, v) THEN nx ELSE x1 END AS x1, CASE WHEN n1 IN (u, v) THEN ny ELSE y1 END AS y1, CASE WHEN n2 IN (u, v) THEN nx ELSE x2 END AS x2, CASE WHEN n2 IN (u, v) THEN ny ELSE y2 END AS y2 FROM (SELECT DISTINCT u, v, keep, nx, ny, elem_id FROM about) JOIN tri USING (elem_id)),
+{_SHAPE_SQL.format('tri', 'was')}, {_SHAPE_SQL.format('tried', 'becomes')}
+SELECT u, v, keep, sum(w.misses)::BIGINT AS before, sum(b.misses) FILTER (hit = 1)::BIGINT AS after FROM becomes b JOIN was w USING (elem_id) GROUP BY u, v, keep HAVING sum(b.misses) FILTER (hit = 1) < sum(w.misses) OR sum(b.misses) FILTER (hit = 1) = sum(w.misses) AND min(b.low) FILTER (hit = 1) > min(w.low) + 0.5""")
+def edge_collapses(m):
+    return E.collapses(m, 0.9, metric=True).select("u", "v", "keep", "before", "after")
+
+
+@query()
+def collapsed_edges(m):
+    return E.collapse_short_edges(m, 0.9, 2)[0].elements.drop("mesh_id")
