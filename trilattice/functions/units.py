@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,3 +38,9 @@ def band_metres(lon: Column, lat: Column, middle: Column) -> tuple[Column, Colum
 
 def band_degrees(x: Column, y: Column, middle: Column) -> tuple[Column, Column]:
     return x / (F.lit(BAND) * F.cos(F.radians(middle))), y / BAND
+
+
+def tick(start: float, step: float, k: Column, plus: float = 0) -> Column:
+    """start + (k + plus) * step of an int k, summed in decimals and rounded once, so that lines of a lattice are the numbers that they read as."""
+    first, each = Decimal(str(start)), Decimal(str(step))
+    return (F.lit(first + each * Decimal(str(plus))) + k * F.lit(each)).cast("double")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trilattice.functions import units as U
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -25,9 +27,9 @@ def reference_box(ref: Column, west: float, south: float, east: float, north: fl
     group = lambda i: F.regexp_extract(text, pattern, i)
     col, row = F.ascii(group(1)) - 65, F.try_to_number(group(2), F.lit("999999999")).cast("int")
     known = text.rlike(pattern) & (col < ncol) & (row >= 1) & (row <= nrow)
-    x0, y1 = F.lit(west) + col * step, F.lit(north) - (row - 1) * step
-    x1, y0 = x0 + step, y1 - step
-    xm, ym, quadrant = (x0 + x1) / 2, (y0 + y1) / 2, group(3)
+    x0, x1, xm = (U.tick(west, step, col, plus) for plus in (0, 1, 0.5))
+    y1, y0, ym = (U.tick(north, -step, row, plus) for plus in (-1, 0, -0.5))
+    quadrant = group(3)
     x0, x1 = F.when(quadrant.isin("B", "D"), xm).otherwise(x0), F.when(quadrant.isin("A", "C"), xm).otherwise(x1)
     y0, y1 = F.when(quadrant.isin("A", "B"), ym).otherwise(y0), F.when(quadrant.isin("C", "D"), ym).otherwise(y1)
     is_part = group(4) != ""

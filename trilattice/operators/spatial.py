@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trilattice.functions import triangle as T
+from trilattice.functions import units as U
 
 
 def nearest_within(points: DataFrame, samples: DataFrame, radius: float, keys: list[str], group: list[str] = ()) -> DataFrame:
@@ -72,9 +73,9 @@ def cell_reference(lon: Column, lat: Column, west: float, south: float, east: fl
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     letter = lambda c, low=False: F.substring(F.lit(letters.lower() if low else letters), c + 1, 1)
     name = F.concat(letter(col), row.cast("string"))
-    x0, y1 = F.lit(west) + col * step, F.lit(north) - (row - 1) * step
+    x0, y1 = U.tick(west, step, col), U.tick(north, -step, row, -1)
     if detail == "quadrant":
-        xm, ym = x0 + step / 2, y1 - step / 2
+        xm, ym = U.tick(west, step, col, 0.5), U.tick(north, -step, row, -0.5)
         name = F.concat(name, F.when(lat >= ym, F.when(lon < xm, "a").otherwise("b")).otherwise(F.when(lon < xm, "c").otherwise("d")))
     elif detail == "part":
         sub_c, sub_r = F.least(trunc((lon - x0) / step * parts), F.lit(parts - 1)), F.least(trunc((y1 - lat) / step * parts), F.lit(parts - 1)) + 1
