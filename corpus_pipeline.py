@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the SentencePiece ids of the whole text."""
-    return spm_encode.encoded(docs, spm_encode.model_path()).select("doc_id", "lang", "source", "ids")
+    return spm_encode.encoded(docs, spm_encode.model_path(), decode=False).select("doc_id", "lang", "source", "ids")
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -66,13 +68,26 @@ def fresh(names: list[str], stem: str) -> str:
     return stem
 
 
+def give_back() -> None:
+    """Return what this worker no longer holds to the machine; else an executor pays for its idle workers in later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mapped(docs: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """docs.mapInArrow(of, schema) for column names with any signs; columns are told by their place alone."""
     plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
 
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in of(batches):
-            yield pa.RecordBatch.from_arrays(b.columns, plain.names)
+        give_back()
+        try:
+            for b in of(batches):
+                yield pa.RecordBatch.from_arrays(b.columns, plain.names)
+        finally:
+            give_back()
 
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(renamed, plain).toDF(*schema.names)
 

@@ -29,9 +29,10 @@ from trilattice.llm.common import fresh, mapped, quoted, slices, table
 #: Types of pieces in the model file, and its mark for a space. Fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 MARK = "▁"
-MEMO = 250_000
+#: Words in each of a worker's two generations, and pairs of pieces that it knows. Both are bounded by an executor's memory.
+MEMO, BESIDE = 120_000, 400_000
 #: Characters that are cut into words and encoded together, and beyond which a text is taken in parts.
-GROUP, PART = 1 << 22, 1 << 20
+GROUP, PART = 1 << 21, 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -247,7 +248,7 @@ class BpeForward:
                         key = ends[j] << 32 | piece
                         fits = beside.get(key)
                         if fits is None:
-                            if len(beside) > 4 * MEMO:
+                            if len(beside) > BESIDE:
                                 beside.clear()
                             fits = beside[key] = self.may_follow(names[ends[j]], names[piece])
                         if not fits:
@@ -331,11 +332,16 @@ class Encoder:
         return out
 
     def _group(self, owners: list[int], parts: list[str], out: list[array]) -> None:
-        words = list(map(self.model.words, parts))
+        # parts are cut twice, as the words of all of them would be the largest thing held
+        found: set[str] = set()
+        for part in parts:
+            found.update(self.model.words(part))
         if len(self.known) > self.memo:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
-        for w in set().union(*words).difference(known):
+        for w in found:
+            if w in known:
+                continue
             if w in older:
                 known[w] = older[w]
             else:
@@ -343,8 +349,8 @@ class Encoder:
         new.sort()
         for w, ids in zip(new, self.model.forward.run(new)):
             known[w] = array("i", ids).tobytes()
-        for i, own in zip(owners, words):
-            out[i].frombytes(b"".join([known[w] for w in own]))
+        for i, part in zip(owners, parts):
+            out[i].frombytes(b"".join([known[w] for w in self.model.words(part)]))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -362,21 +368,26 @@ def encoder(path: str) -> Encoder:
 ADDED, DIGESTS = ["ids", "decoded"], ["n_ids", "ids_md5", "round_trip"]
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", digests: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str, text: str = "text", digests: bool = False, decode: bool = True) -> DataFrame:
     """docs with the columns ids (array of int) and decoded (string) in place of any of these names.
 
     With `digests` n_ids, ids_md5 (over the ids as little-endian 32-bit numbers) and round_trip follow, all derived from
     these two columns; round_trip is whether decoded is the text, which it is not where the text holds a literal mark.
+    Without `decode` there are ids alone.
 
     ids are the library's for the whole text; decoded is what decoding the ids gives, the text itself but for marks
     that the text holds literally. Null texts are empty and have no ids. All other columns pass through unread, whatever their names; an
     empty table gives an empty one. `path` names a model file that each executor has.
     """
-    added = ADDED + DIGESTS if digests else ADDED
+    if digests and not decode:
+        raise ValueError("digests are derived from the decoded text")
+    added = ADDED + DIGESTS if digests else ADDED if decode else ADDED[:1]
     kept = [c for c in docs.columns if c not in added]
     given = docs.select(*quoted(kept), docs[text].alias(fresh(docs.columns, "text"))) if text not in kept else docs.select(*quoted(kept))
     at = kept.index(text) if text in kept else len(kept)
-    schema = docs.select(*quoted(kept)).schema.add("ids", T.ArrayType(T.IntegerType(), False), False).add("decoded", "string", False)
+    schema = docs.select(*quoted(kept)).schema.add("ids", T.ArrayType(T.IntegerType(), False), False)
+    if decode:
+        schema = schema.add("decoded", "string", False)
     if digests:
         schema = schema.add("n_ids", "long", False).add("ids_md5", "string", False).add("round_trip", "boolean", False)
 
@@ -386,8 +397,10 @@ def encoded(docs: DataFrame, path: str, text: str = "text", digests: bool = Fals
             ids, at_ = every[at_ : at_ + len(texts)], at_ + len(texts)
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             values = np.frombuffer(b"".join(ids), np.int32)
-            decoded = [spm.model.decode(x) for x in ids]
-            out = [*(b.column(k) for k in range(len(kept))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(decoded, pa.string())]
+            out = [*(b.column(k) for k in range(len(kept))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+            if decode:
+                decoded = [spm.model.decode(x) for x in ids]
+                out.append(pa.array(decoded, pa.string()))
             if digests:
                 same = [d == t for d, t in zip(decoded, texts)]
                 md5 = [hashlib.md5(x.tobytes()).hexdigest() for x in ids]
